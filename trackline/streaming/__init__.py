@@ -1,0 +1 @@
+"""No streaming operator is in scope: every table is a full refresh of batch files."""
