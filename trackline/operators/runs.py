@@ -90,9 +90,12 @@ def collapse_runs(
     )
     # Context of all head pieces that continue one run, read from the chunk after its beginning.
     same_run = Window.partitionBy(KEY, "_open_run")
-    for c, f in reducers.items():
-        rest = f(F.when(F.col("_continues"), F.col("_head")[c])).over(same_run)
-        heads = heads.withColumn(f"_rest_{c}", rest)
+    heads = heads.withColumns(
+        {
+            f"_rest_{c}": f(F.when(F.col("_continues"), F.col("_head")[c])).over(same_run)
+            for c, f in reducers.items()
+        }
+    )
     later = _chunks(reverse=True).rowsBetween(*_before_here)
     heads = heads.select(
         CHUNK,

@@ -51,7 +51,10 @@ class Series:
         return Window.partitionBy(CHUNK, KEY).orderBy(*self.ordering(reverse))
 
 
-_whole_chunk = Window.partitionBy(CHUNK, KEY)
+def _whole_chunk():
+    return Window.partitionBy(CHUNK, KEY)
+
+
 _up_to_here = (Window.unboundedPreceding, Window.currentRow)
 _before_here = (Window.unboundedPreceding, -1)
 
@@ -127,7 +130,7 @@ def shift(df: DataFrame, series: Series, columns: dict[str, str], offset: int =
     local = df.withColumns(
         {
             "_pos": F.row_number().over(rows),
-            "_size": F.count(F.lit(1)).over(_whole_chunk),
+            "_size": F.count(F.lit(1)).over(_whole_chunk()),
             **{out: F.lag(src, k).over(rows) for out, src in columns.items()},
         }
     )
@@ -157,7 +160,7 @@ def fill_forward(df: DataFrame, series: Series, columns: Sequence[str]) -> DataF
     local = df.withColumns(
         {
             "_pos": F.row_number().over(rows),
-            "_size": F.count(F.lit(1)).over(_whole_chunk),
+            "_size": F.count(F.lit(1)).over(_whole_chunk()),
             **{c: F.last(c, ignorenulls=True).over(rows.rowsBetween(*_up_to_here)) for c in columns},
         }
     )
