@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,6 +19,10 @@ from trackline.operators import stats
 from trackline.operators.series import Series, unsplit
 from trackline.operators.signals import VEHICLE
 from trackline.plans import consistency, laps, pages, telemetry, track, weather
+from trackline.sources.catalog import read_kind, select_files, race_files
+from trackline.sources.schemas import SCHEMAS
+from trackline.sources.tables import write_json
+from trackline.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -457,6 +462,18 @@ add(
     " WHERE circuit = 'north' AND vehicle_id IS NOT NULL GROUP BY vehicle_id, vehicle_number",
     "avg_speed avg_rpm avg_throttle avg_gear",
 )
+add(
+    "vehicle_performance_table",
+    lambda m: pages.performance_table(pages.vehicle_performance(m.timeline, "south")),
+    "SELECT vehicle_id, vehicle_number, count(DISTINCT lap) AS total_laps, "
+    + ", ".join(
+        f"printf('%.{n}f', round(avg({c}) + 1e-{n + 3}, {n})) AS {out}"
+        for c, out, n in (("speed", "avg_speed", 2), ("nmot", "avg_rpm", 0),
+                          ("aps", "avg_throttle", 1), ("gear", "avg_gear", 1))
+    )
+    + " FROM timeline WHERE circuit = 'south' AND vehicle_id IS NOT NULL"
+    " GROUP BY vehicle_id, vehicle_number",
+)
 add("speed_histogram", lambda m: pages.speed_histogram(m.timeline, "north"),
     O.bins_sql("timeline", "speed", 40, "circuit = 'north' AND speed > 0"), "lower upper")
 add("gear_usage", lambda m: pages.gear_usage(m.timeline, "north"),
@@ -636,3 +653,52 @@ add(
     f" count(*) AS data_points FROM timeline WHERE {O.COORDS} GROUP BY vehicle_id",
     "avg_speed",
 )
+
+
+# Files: what was written is read back and compared with the given tables
+
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+CIRCUIT_FILES = {"north": "barber", "south": "cota"}
+
+
+def _csv_read(kind: str, source: Callable[[Marts], DataFrame]) -> Callable[[Marts], DataFrame]:
+    """Write a table as race files in the catalogue's folders, then read them as race files."""
+
+    def run(m: Marts) -> DataFrame:
+        root = f"{shared_dir(m.spark)}/race-files-{uuid.uuid4().hex}"
+        table = source(m)
+        files = race_files(root)
+        for circuit, folder in CIRCUIT_FILES.items():
+            for race in (1, 2):
+                (file,) = select_files(files, kind, [folder], [race])
+                part = table.where((F.col("circuit") == circuit) & (F.col("race_number") == race))
+                part.select(*SCHEMAS[kind].names).write.option("header", True).option(
+                    "timestampFormat", CSV_TIME
+                ).csv(file.path)
+        return read_kind(m.spark, kind, root, list(CIRCUIT_FILES.values()))
+
+    return run
+
+
+FOLDER = "CASE circuit WHEN 'north' THEN 'barber' ELSE 'cota' END AS circuit"
+add(
+    "csv_telemetry",
+    _csv_read("telemetry_data", lambda m: m.telemetry()),
+    f"SELECT * REPLACE ({FOLDER}) FROM tel",
+)
+add(
+    "csv_weather",
+    _csv_read("weather", lambda m: m.weather()),
+    f"SELECT * EXCLUDE (time_utc), time_utc AS time_utc_str, CAST(0 AS DOUBLE) AS rain FROM"
+    f" (SELECT * REPLACE ({FOLDER}) FROM readings)",
+)
+
+
+def _json_read(m: Marts) -> DataFrame:
+    path = f"{shared_dir(m.spark)}/json-{uuid.uuid4().hex}"
+    summary = pages.race_summary(m.timeline)
+    write_json(summary, path)
+    return m.spark.read.schema(summary.schema).json(path)
+
+
+add("json_race_summary", _json_read, QUERIES["race_summary"].sql, "avg_speed")

@@ -14,3 +14,8 @@ def stable_round(value: Column, digits: int) -> Column:
     lifts such values clear of the border.
     """
     return F.round(value + F.lit(10.0 ** -(digits + 3)), digits)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, for tables on a page."""
+    return F.format_string(f"%.{digits}f", stable_round(value, digits))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackline.functions import weather as W
 from trackline.functions.filters import apply_filters, chosen, ordered_range
+from trackline.functions.numbers import fixed
 from trackline.operators import stats
 from trackline.operators.series import TIME_SLOTS, Series, running_sum, shift, split, unsplit
 
@@ -61,7 +62,10 @@ def first_vehicles(table: DataFrame, filters: Filters = None, count: int = 3) ->
 
 
 def overview_counts(timeline: DataFrame) -> DataFrame:
-    return timeline.where(F.col("race_number").isNotNull()).agg(
+    """Numbers of races, vehicles and circuits, counted on their distinct combinations."""
+    names = ["race_number", "vehicle_id", "circuit"]
+    found = timeline.where(F.col("race_number").isNotNull()).select(*names).distinct()
+    return found.agg(
         F.countDistinct("race_number").alias("total_races"),
         F.countDistinct("vehicle_id").alias("total_vehicles"),
         F.countDistinct("circuit").alias("total_circuits"),
@@ -69,14 +73,21 @@ def overview_counts(timeline: DataFrame) -> DataFrame:
 
 
 def race_summary(timeline: DataFrame, rows: int | None = 10) -> DataFrame:
-    summary = (
+    """Vehicles, laps and mean speed per race, newest race first.
+
+    Rows are summed per vehicle and lap first: two distinct counts over the rows themselves would
+    copy each row three times.
+    """
+    race = ["circuit", "race_number"]
+    per_lap = (
         timeline.where(F.col("race_number").isNotNull() & F.col("speed").isNotNull())
-        .groupBy("circuit", "race_number")
-        .agg(
-            F.countDistinct("vehicle_id").alias("vehicle_count"),
-            F.countDistinct("lap").alias("total_laps"),
-            F.avg("speed").alias("avg_speed"),
-        )
+        .groupBy(*race, "vehicle_id", "lap")
+        .agg(F.sum("speed").alias("_sum"), F.count("speed").alias("_n"))
+    )
+    summary = per_lap.groupBy(*race).agg(
+        F.countDistinct("vehicle_id").alias("vehicle_count"),
+        F.countDistinct("lap").alias("total_laps"),
+        (F.sum("_sum") / F.sum("_n")).alias("avg_speed"),
     )
     return _top(summary, [*_desc("race_number"), *_asc("circuit")], rows)
 
@@ -139,6 +150,12 @@ def vehicle_performance(timeline: DataFrame, circuit: str) -> DataFrame:
     )
 
 
+def performance_table(performance: DataFrame) -> DataFrame:
+    """Vehicle performance as the page prints it."""
+    digits = {"avg_speed": 2, "avg_rpm": 0, "avg_throttle": 1, "avg_gear": 1}
+    return performance.withColumns({c: fixed(F.col(c), n) for c, n in digits.items()})
+
+
 def speed_histogram(timeline: DataFrame, circuit: str, bins: int = 40) -> DataFrame:
     moving = timeline.where((F.col("circuit") == circuit) & (F.col("speed") > 0))
     return stats.histogram(moving, "speed", bins)

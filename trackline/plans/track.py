@@ -16,6 +16,8 @@ SECTOR_INCHES = [
     (3, "Sector 3", 41940),
 ]
 
+MAX_BROADCAST_ROWS = 200_000
+
 PLACED = ("circuit", "race_number", "vehicle_id", "vehicle_number", "outing", "lap",
           "event_timestamp", "laptrigger_lapdist_dls", "meter_position_m", "event_source",
           "speed", "gear", "aps", "steering_angle", "front_brake_pressure",
@@ -71,19 +73,22 @@ def sector_spine(lengths: DataFrame) -> DataFrame:
     )
 
 
-def on_track(timeline: DataFrame, spine: DataFrame) -> DataFrame:
+def on_track(
+    timeline: DataFrame, spine: DataFrame, broadcast_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
     """Timeline rows with a lap and a lap distance, and the metre and sector of that distance.
 
-    The spine has one row per metre of track, so Spark broadcasts it by its size and the timeline
-    is not shuffled. Distances beyond the spine keep their row without a sector.
+    A spine has one row per metre of track. Up to ``broadcast_rows`` of them, checked by a count,
+    it is sent to every task and the timeline is not shuffled; a longer one is joined by shuffle.
+    Distances beyond the spine keep their row without a sector.
     """
     rows = timeline.where(
         F.col("lap").isNotNull() & F.col("laptrigger_lapdist_dls").isNotNull()
     ).withColumn("_metre", F.floor("laptrigger_lapdist_dls").cast("bigint"))
-    sectors = spine.drop("sector_start_distance_m", "sector_end_distance_m")
-    if "circuit" in sectors.columns:
-        sectors = sectors.withColumn("_metre", F.col("meter_position_m"))
-        joined = rows.join(sectors, ["circuit", "_metre"], "left")
-    else:
-        joined = rows.join(sectors, rows["_metre"] == sectors["meter_position_m"], "left")
-    return joined.select(*PLACED)
+    sectors = spine.drop("sector_start_distance_m", "sector_end_distance_m").withColumn(
+        "_metre", F.col("meter_position_m").cast("bigint")
+    )
+    on = ["circuit", "_metre"] if "circuit" in sectors.columns else ["_metre"]
+    if spine.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        sectors = F.broadcast(sectors)
+    return rows.join(sectors, on, "left").select(*PLACED)

@@ -11,6 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+# Plans of this library hold many generated classes. Spark keeps 100 compiled ones by default and
+# then compiles the same code again for every query, which costs more than small queries run.
+SESSION_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.cache.maxEntries": "5000",
+}
+
+
+def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """Settings this library runs well with; master, memory and partitions stay the caller's."""
+    for key, value in SESSION_CONF.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def use_utc(spark: SparkSession) -> None:
     """All race times are UTC; a session in another zone would shift day and hour slots."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
