@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import adapter
-from trackline.plans import laps, telemetry, track, weather
+from trackline.operators.series import Series
+from trackline.operators.signals import VEHICLE
+from trackline.plans import laps, pages, telemetry, track, weather
 from trackline.session import use_utc, write_shared
 
 RACE = ("circuit", "race_number")
+WHOLE_TRACK = Series(VEHICLE, ("event_timestamp", "event_source"))
 _open: dict[tuple[str, str], "Marts"] = {}
 
 
@@ -76,12 +79,24 @@ class Marts:
             track.on_track(line, track.sector_spine(lengths)), "audit_placed", RACE
         )
 
+    @cached_property
+    def combined_laps(self) -> DataFrame:
+        table = laps.combined_laps(
+            laps.lap_starts(self.lap_events("lap_start")), laps.lap_ends(self.lap_events("lap_end"))
+        )
+        return write_shared(table, "combined_laps")
+
     @cached_property
     def laps(self) -> DataFrame:
-        table = laps.lap_facts(
-            self.lap_events("lap_start"), self.lap_events("lap_end"), self.weather()
+        return write_shared(laps.with_weather(self.combined_laps, self.weather()), "lap_facts", RACE)
+
+    @cached_property
+    def braking(self) -> DataFrame:
+        """Braking points of all laps of every vehicle."""
+        located = self.timeline.where(
+            F.col("vbox_long_minutes").isNotNull() & F.col("vbox_lat_minutes").isNotNull()
         )
-        return write_shared(table, "lap_facts", RACE)
+        return write_shared(pages.braking_points(located, series=WHOLE_TRACK), "braking_points")
 
     @cached_property
     def wind(self) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from registry import oracle as O
-from registry.marts import Marts, open_marts
+from registry.marts import WHOLE_TRACK, Marts, open_marts
 from trackline.functions import weather as W
 from trackline.functions.numbers import stable_round
 from trackline.operators import stats
-from trackline.operators.series import Series, unsplit
+from trackline.operators.series import unsplit
 from trackline.operators.signals import VEHICLE
 from trackline.plans import consistency, laps, pages, telemetry, track, weather
 from trackline.sources.catalog import read_kind, select_files, race_files
@@ -165,15 +165,13 @@ def _combined(m: Marts) -> DataFrame:
 add("lap_full_outer_impute", _combined, "SELECT * FROM combined")
 add(
     "lap_weather_interval",
-    lambda m: laps.lap_weather(_combined(m), m.weather()),
+    lambda m: laps.lap_weather(m.combined_laps, m.weather()),
     "SELECT * FROM lap_readings",
     O.WEATHER,
 )
 add(
     "lap_facts",
-    lambda m: laps.lap_facts(
-        m.lap_events("lap_start"), m.lap_events("lap_end"), m.weather()
-    ),
+    lambda m: laps.with_weather(m.combined_laps, m.weather()),
     "SELECT * FROM lap_facts",
 )
 
@@ -578,9 +576,6 @@ add(
 
 # Track map page
 
-WHOLE_TRACK = Series(VEHICLE, ("event_timestamp", "event_source"))
-
-
 def _points(m: Marts) -> DataFrame:
     return m.timeline.where(
         F.col("vbox_long_minutes").isNotNull() & F.col("vbox_lat_minutes").isNotNull()
@@ -624,7 +619,7 @@ add("braking_points", _braking, "SELECT * EXCLUDE (circuit, race_number) FROM br
     "speed_drop deceleration_rate")
 add(
     "braking_bands",
-    lambda m: pages.braking_bands(_braking(m)),
+    lambda m: pages.braking_bands(m.braking),
     "SELECT *, CASE WHEN speed_drop_range < 10 THEN 'quantile' ELSE 'linear' END AS color_scale"
     " FROM (SELECT min(speed_drop) AS min_speed_drop, max(speed_drop) AS max_speed_drop,"
     " max(speed_drop) - min(speed_drop) AS speed_drop_range,"
@@ -636,7 +631,7 @@ add(
 add(
     "quantile_class",
     lambda m: stats.quantile_class(
-        _braking(m).select("vehicle_id", "event_timestamp", "speed_drop"), "speed_drop"
+        m.braking.select("vehicle_id", "event_timestamp", "speed_drop"), "speed_drop"
     ),
     "SELECT vehicle_id, event_timestamp, speed_drop, "
     + " + ".join(

@@ -285,6 +285,14 @@ def test_wind_facts_keep_either_side(spark):
     assert [r.wind_speed_band_mph for r in got] == ["00-05 mph", "05-10 mph", None, "20+ mph"]
 
 
+def test_readings_without_a_second_do_not_match(spark):
+    rows = [{"time_utc_seconds": None, "wind_speed": 3.0, "wind_direction": 90.0}]
+    got = weather.wind_facts(rows_of(spark, "weather", rows)).collect()
+    assert sorted([(r.wind_speed_mph, r.wind_direction_degrees) for r in got], key=str) == [
+        (3.0, None), (None, 90.0),
+    ]
+
+
 def test_wind_rose_without_band_column(spark):
     table = wind_table(spark)
     with_band = sorted(map(tuple, pages.wind_rose(table).collect()))

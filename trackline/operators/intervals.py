@@ -30,8 +30,11 @@ def join_points_in_intervals(
 
     A join on ``on`` alone would test every point of a race against every interval of it. Here
     both sides also meet on a time slot, so only neighbours are tested: each interval is copied
-    to the slots it touches, each point to one slot per width. Intervals with a missing or
-    reversed end contain nothing and are left out.
+    to the slots it touches, each point to one slot for each width in use. Intervals with a
+    missing or reversed end contain nothing and are left out.
+
+    The widths in use are looked up first, at most one number per level, so points are not copied
+    for lengths that do not occur. ``intervals`` is read twice and should be a stored table.
     """
     length = _micros(end) - _micros(start)
     level = F.lit(len(levels) - 1)
@@ -42,18 +45,25 @@ def join_points_in_intervals(
     def slot(column: str, width: Column) -> Column:
         return F.floor(_micros(column) / width).cast("bigint")
 
+    valid = intervals.where(F.col(start) <= F.col(end))
+    used = sorted(row[0] for row in valid.select(level.alias("_level")).distinct().collect())
     spans = (
-        intervals.where(F.col(start) <= F.col(end))
-        .withColumn("_level", level)
+        valid.withColumn("_level", level)
         .withColumn("_width", F.get(widths, F.col("_level")))
         .withColumn(
             "_slot", F.explode(F.sequence(slot(start, F.col("_width")), slot(end, F.col("_width"))))
         )
         .drop("_width")
     )
+    wanted = F.array(
+        *[
+            F.struct(F.lit(i).alias("_level"), F.lit(levels[i]).cast("bigint").alias("_width"))
+            for i in used or [0]
+        ]
+    )
     marks = (
         points.where(F.col(at).isNotNull())
-        .select("*", F.posexplode(widths).alias("_level", "_width"))
+        .select("*", F.inline(wanted))
         .withColumn("_slot", slot(at, F.col("_width")))
         .drop("_width")
     )

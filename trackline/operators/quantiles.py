@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackline.operators.series import Series, largest_group, running_sum, split, unsplit
 
-MAX_GROUP_ROWS = 5_000_000
+MAX_GROUP_ROWS = 500_000
 
 
 def percentiles_by_group(
@@ -30,10 +30,19 @@ def percentiles_by_group(
     if group_rows is None:
         group_rows = largest_group(df, keys)
     if group_rows <= max_rows:
+        # One aggregate, and so one buffer, for all fractions of a column.
+        fractions: dict[str, list[float]] = {}
+        for column, fraction in outputs.values():
+            fractions.setdefault(column, []).append(fraction)
         built_in = [
-            F.percentile(F.col(c), F.lit(p)).alias(out) for out, (c, p) in outputs.items()
+            F.percentile(F.col(c), [float(p) for p in found]).alias(f"_all_{c}")
+            for c, found in fractions.items()
         ]
-        return df.groupBy(*keys).agg(*extra, *built_in)
+        at = {
+            out: F.get(f"_all_{c}", fractions[c].index(p)) for out, (c, p) in outputs.items()
+        }
+        found = df.groupBy(*keys).agg(*extra, *built_in)
+        return found.withColumns(at).drop(*[f"_all_{c}" for c in fractions])
     ranked = _percentiles_by_rank(df, keys, outputs, max_rows)
     if not keys:
         row = ranked.select(F.struct(*outputs)).scalar()
@@ -59,12 +68,10 @@ def _percentiles_by_rank(
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     series = Series((*keys, "_column"), ("_value",))
-    upto = unsplit(
-        running_sum(split(counted, series, (), max_rows), series, {"_upto": "_count"})
+    ranked = split(counted, series, (), max_rows)
+    joined = unsplit(
+        running_sum(ranked, series, {"_upto": "_count"}, totals={"_total": "_count"})
     )
-    totals = counted.groupBy(*keys, "_column").agg(F.sum("_count").alias("_total"))
-    match = [upto[k].eqNullSafe(totals[k]) for k in (*keys, "_column")]
-    joined = upto.join(totals, match).select(upto["*"], "_total")
 
     picks = []
     for out, (column, fraction) in outputs.items():

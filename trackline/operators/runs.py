@@ -52,7 +52,11 @@ def collapse_runs(
     rows = series.rows()
     prev = {v: f"_prev_{v}" for v in values}
     marked = df.withColumns(
-        {"_pos": F.row_number().over(rows), **{prev[v]: F.lag(v).over(rows) for v in values}}
+        {
+            "_pos": F.row_number().over(rows),
+            "_last_row": F.lead(F.lit(1)).over(rows).isNull(),
+            **{prev[v]: F.lag(v).over(rows) for v in values},
+        }
     )
     opens = (F.col("_pos") == 1) | ~same(
         {v: F.col(prev[v]) for v in values}, {v: F.col(v) for v in values}
@@ -70,11 +74,20 @@ def collapse_runs(
         *[f(c).alias(c) for c, f in reducers.items()],
     )
 
-    heads = pieces.groupBy(CHUNK, KEY).agg(
-        F.max("_run").alias("_runs"),
-        F.min_by(F.struct("_start", *values, *reducers), "_run").alias("_head"),
-        F.max_by(F.struct(*values), "_run").alias("_tail"),
-        F.min(F.when(F.col("_run") == 2, F.col("_start"))).alias("_second"),
+    # A summary needs the first run, the start of the second and the last row of a chunk, so most
+    # rows are dropped before it is built.
+    first_run = F.col("_run") == 1
+    heads = (
+        marked.where(first_run | (F.col("_opens") & (F.col("_run") == 2)) | F.col("_last_row"))
+        .groupBy(CHUNK, KEY)
+        .agg(
+            F.max("_run").alias("_runs"),
+            F.min(F.when(first_run, F.col(time))).alias("_first_start"),
+            F.min_by(F.struct(*values), "_pos").alias("_head"),
+            F.max_by(F.struct(*values), "_pos").alias("_tail"),
+            F.min(F.when(F.col("_run") == 2, F.col(time))).alias("_second"),
+            *[f(F.when(first_run, F.col(c))).alias(f"_head_{c}") for c, f in reducers.items()],
+        )
     )
     along = _chunks()
     heads = heads.withColumn("_last", F.lag("_tail").over(along))
@@ -82,7 +95,7 @@ def collapse_runs(
         {v: F.col("_last")[v] for v in values}, {v: F.col("_head")[v] for v in values}
     )
     heads = heads.withColumn("_continues", continues).withColumn(
-        "_first", F.when(F.col("_continues"), F.col("_second")).otherwise(F.col("_head._start"))
+        "_first", F.when(F.col("_continues"), F.col("_second")).otherwise(F.col("_first_start"))
     )
     begins = ((F.col("_runs") > 1) | ~F.col("_continues")).cast("bigint")
     heads = heads.withColumn(
@@ -92,7 +105,7 @@ def collapse_runs(
     same_run = Window.partitionBy(KEY, "_open_run")
     heads = heads.withColumns(
         {
-            f"_rest_{c}": f(F.when(F.col("_continues"), F.col("_head")[c])).over(same_run)
+            f"_rest_{c}": f(F.when(F.col("_continues"), F.col(f"_head_{c}"))).over(same_run)
             for c, f in reducers.items()
         }
     )

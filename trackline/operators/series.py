@@ -27,6 +27,7 @@ from trackline.session import shared_dir
 KEY = "_series"
 CHUNK = "_chunk"
 MAX_CHUNK_ROWS = 2_000_000
+MAX_CHUNKS = 1_000_000
 
 SECOND = 1_000_000
 TIME_SLOTS = (86_400 * SECOND, 3_600 * SECOND, 60 * SECOND, SECOND)
@@ -80,6 +81,14 @@ def largest_group(df: DataFrame, by: Iterable[str | Column]) -> int:
     return counts.agg(F.max("_n")).first()[0] or 0
 
 
+def _fullness(keyed: DataFrame, slot: Column) -> tuple[int, int]:
+    """Rows of the fullest slot of any series, and the most slots any series has."""
+    slots = keyed.groupBy(KEY, slot.alias(CHUNK)).agg(F.count(F.lit(1)).alias("_n"))
+    per_series = slots.groupBy(KEY).agg(F.max("_n").alias("_n"), F.count("_n").alias("_slots"))
+    rows, count = per_series.agg(F.max("_n"), F.max("_slots")).first()
+    return rows or 0, count or 0
+
+
 def split(
     df: DataFrame,
     series: Series,
@@ -88,13 +97,17 @@ def split(
 ) -> DataFrame:
     """Add the series key and the chunk number, with at most ``max_rows`` rows per chunk.
 
-    The widest slot that passes the count is taken. If none passes (many rows in one instant)
-    the rows are range-partitioned on the full sort key, which also divides equal times.
+    The widest slot that passes the count is taken. If none passes (many rows in one instant), or
+    only one so narrow that a series would have more than ``MAX_CHUNKS`` summaries, the rows are
+    range-partitioned on the full sort key, which also divides equal times.
     """
     keyed = df.withColumn(KEY, F.struct(*series.keys))
     for width in slots:
         slot = slot_of(df, series.order[0], width)
-        if largest_group(keyed, [F.col(KEY), slot.alias(CHUNK)]) <= max_rows:
+        rows, chunks = _fullness(keyed, slot)
+        if chunks > MAX_CHUNKS:
+            break
+        if rows <= max_rows:
             return keyed.withColumn(CHUNK, slot)
     if not slots and largest_group(keyed, [KEY]) <= max_rows:
         return keyed.withColumn(CHUNK, F.lit(0).cast("bigint"))
@@ -146,12 +159,13 @@ def shift(df: DataFrame, series: Series, columns: dict[str, str], offset: int =
     carry = tails.select(CHUNK, KEY, earlier.alias("_carry"))
     joined = local.join(carry, [CHUNK, KEY], "left")
     at = F.size("_carry") - F.lit(k) + F.col("_pos") - 1
-    for i, out in enumerate(columns):
-        from_before = F.when(at >= 0, F.get(F.col("_carry"), at)[f"_v{i}"])
-        joined = joined.withColumn(
-            out, F.when(F.col("_pos") > k, F.col(out)).otherwise(from_before)
-        )
-    return joined.drop("_pos", "_size", "_carry")
+    from_before = F.when(at >= 0, F.get(F.col("_carry"), at))
+    return joined.withColumns(
+        {
+            out: F.when(F.col("_pos") > k, F.col(out)).otherwise(from_before[f"_v{i}"])
+            for i, out in enumerate(columns)
+        }
+    ).drop("_pos", "_size", "_carry")
 
 
 def fill_forward(df: DataFrame, series: Series, columns: Sequence[str]) -> DataFrame:
@@ -176,16 +190,29 @@ def fill_forward(df: DataFrame, series: Series, columns: Sequence[str]) -> DataF
     ).drop("_pos", "_size", *[f"_carry_{c}" for c in columns])
 
 
-def running_sum(df: DataFrame, series: Series, columns: dict[str, str]) -> DataFrame:
-    """Running total of ``{output: input}`` from the start of the series to the row."""
+def running_sum(
+    df: DataFrame,
+    series: Series,
+    columns: dict[str, str],
+    totals: dict[str, str] | None = None,
+) -> DataFrame:
+    """Running total of ``{output: input}`` from the start of the series to the row.
+
+    ``totals`` adds sums over the whole series.
+    """
+    totals = totals or {}
     rows = series.rows().rowsBetween(*_up_to_here)
     local = df.withColumns({out: F.sum(src).over(rows) for out, src in columns.items()})
-    totals = df.groupBy(CHUNK, KEY).agg(
-        *[F.sum(src).alias(f"_sum_{out}") for out, src in columns.items()]
+    sums = df.groupBy(CHUNK, KEY).agg(
+        *[F.sum(src).alias(f"_sum_{out}") for out, src in {**columns, **totals}.items()]
     )
     before = _chunks().rowsBetween(*_before_here)
-    carry = totals.select(
-        CHUNK, KEY, *[F.sum(f"_sum_{out}").over(before).alias(f"_carry_{out}") for out in columns]
+    whole = Window.partitionBy(KEY)
+    carry = sums.select(
+        CHUNK,
+        KEY,
+        *[F.sum(f"_sum_{out}").over(before).alias(f"_carry_{out}") for out in columns],
+        *[F.sum(f"_sum_{out}").over(whole).alias(out) for out in totals],
     )
     joined = local.join(carry, [CHUNK, KEY], "left")
     zero = F.lit(0)

@@ -47,11 +47,12 @@ def refresh(
 
     starts, ends = source("lap_start"), source("lap_end")
     readings = store(source("weather"), "weather")
-    store(laps.lap_starts(starts), "int_laps_start")
-    store(laps.lap_ends(ends), "int_laps_end")
+    starts = store(laps.lap_starts(starts), "int_laps_start")
+    ends = store(laps.lap_ends(ends), "int_laps_end")
+    combined = store(laps.combined_laps(starts, ends), "laps_combined")
     store(laps.lap_times(source("lap_time")), "int_laps_time")
     store(laps.best_laps(source("best_laps")), "int_laps_best")
-    store(laps.lap_facts(starts, ends, readings), "fact_laps")
+    store(laps.with_weather(combined, readings), "fact_laps")
     store(weather.wind_facts(readings), "fact_wind")
 
 

@@ -147,6 +147,16 @@ def lap_facts(
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     laps = combined_laps(lap_starts(start_events), lap_ends(end_events))
+    return with_weather(laps, weather, levels, max_rows)
+
+
+def with_weather(
+    laps: DataFrame,
+    weather: DataFrame,
+    levels: Sequence[int] = LEVELS,
+    max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Lap facts of combined laps. The laps are used twice, so hand in a stored table of them."""
     statistics = lap_weather_statistics(laps, weather, levels, max_rows)
     # Plain equality: a lap with a NULL in its key keeps its row and gets no statistics.
     joined = laps.join(statistics, list(LAP), "left")
