@@ -52,10 +52,6 @@ class Series:
         return Window.partitionBy(CHUNK, KEY).orderBy(*self.ordering(reverse))
 
 
-def _whole_chunk():
-    return Window.partitionBy(CHUNK, KEY)
-
-
 _up_to_here = (Window.unboundedPreceding, Window.currentRow)
 _before_here = (Window.unboundedPreceding, -1)
 
@@ -143,7 +139,7 @@ def shift(df: DataFrame, series: Series, columns: dict[str, str], offset: int =
     local = df.withColumns(
         {
             "_pos": F.row_number().over(rows),
-            "_size": F.count(F.lit(1)).over(_whole_chunk()),
+            "_at_end": F.lead(F.lit(1), k).over(rows).isNull(),
             **{out: F.lag(src, k).over(rows) for out, src in columns.items()},
         }
     )
@@ -151,7 +147,7 @@ def shift(df: DataFrame, series: Series, columns: dict[str, str], offset: int =
     # holds at least one row, so k chunks are enough and no array grows past k * k entries.
     item = F.struct("_pos", *[F.col(src).alias(f"_v{i}") for i, src in enumerate(columns.values())])
     tails = (
-        local.where(F.col("_pos") > F.col("_size") - k)
+        local.where("_at_end")
         .groupBy(CHUNK, KEY)
         .agg(F.sort_array(F.collect_list(item)).alias("_tail"))
     )
@@ -165,7 +161,7 @@ def shift(df: DataFrame, series: Series, columns: dict[str, str], offset: int =
             out: F.when(F.col("_pos") > k, F.col(out)).otherwise(from_before[f"_v{i}"])
             for i, out in enumerate(columns)
         }
-    ).drop("_pos", "_size", "_carry")
+    ).drop("_pos", "_at_end", "_carry")
 
 
 def fill_forward(df: DataFrame, series: Series, columns: Sequence[str]) -> DataFrame:
@@ -173,13 +169,12 @@ def fill_forward(df: DataFrame, series: Series, columns: Sequence[str]) -> DataF
     rows = series.rows()
     local = df.withColumns(
         {
-            "_pos": F.row_number().over(rows),
-            "_size": F.count(F.lit(1)).over(_whole_chunk()),
+            "_at_end": F.lead(F.lit(1)).over(rows).isNull(),
             **{c: F.last(c, ignorenulls=True).over(rows.rowsBetween(*_up_to_here)) for c in columns},
         }
     )
     before = _chunks().rowsBetween(*_before_here)
-    carry = local.where(F.col("_pos") == F.col("_size")).select(
+    carry = local.where("_at_end").select(
         CHUNK,
         KEY,
         *[F.last(c, ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns],
@@ -187,7 +182,7 @@ def fill_forward(df: DataFrame, series: Series, columns: Sequence[str]) -> DataF
     joined = local.join(carry, [CHUNK, KEY], "left")
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in columns}
-    ).drop("_pos", "_size", *[f"_carry_{c}" for c in columns])
+    ).drop("_at_end", *[f"_carry_{c}" for c in columns])
 
 
 def running_sum(
