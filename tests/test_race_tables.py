@@ -319,17 +319,34 @@ def test_sector_spine(spark):
     assert edge == {1029: 1, 1030: 2, 3674: 3}
 
 
+def driven(spark, distances):
+    """Timeline rows of one lap at the given distances, two events per distance."""
+    rows = [
+        ("north", 1, "V1", 7, at(i + j / 2), source, 1, 0, d, 1.0)
+        for i, d in enumerate(distances)
+        for j, source in enumerate(("laptrigger", "gear"))
+    ]
+    df = spark.createDataFrame(
+        rows, RACE + "vehicle_id string, vehicle_number bigint, event_timestamp timestamp,"
+        " event_source string, lap bigint, outing bigint, laptrigger_lapdist_dls double,"
+        " speed double")
+    measures = ("gear", "aps", "steering_angle", "front_brake_pressure", "rear_brake_pressure")
+    return df.withColumns({m: F.lit(None).cast("double") for m in measures})
+
+
 def placed_fixture(spark):
-    df = signal(spark, [(i, float(10 * i)) for i in range(5)], "Laptrigger_lapdist_dls")
-    df = df.unionByName(signal(spark, [(i + 0.5, float(i)) for i in range(5)], "gear"))
-    return track.on_track(timeline_of(spark, df), track.sector_spine(track.sector_lengths(spark)))
+    rows = driven(spark, [10.0 * i for i in range(5)])
+    return track.on_track(rows, track.sector_spine(track.sector_lengths(spark)))
 
 
 def test_distance_beyond_the_spine_keeps_its_row(spark):
-    df = signal(spark, [(1, 3675.0), (2, 12.9)], "Laptrigger_lapdist_dls")
     spine = track.sector_spine(track.sector_lengths(spark))
-    got = track.on_track(timeline_of(spark, df), spine).orderBy("event_timestamp").collect()
-    assert [(r.meter_position_m, r.sector_number) for r in got] == [(None, None), (12, 1)]
+    for limit in (track.MAX_BROADCAST_ROWS, 10):
+        got = track.on_track(driven(spark, [3675.0, 12.9]), spine, limit)
+        got = got.orderBy("event_timestamp").collect()
+        assert [(r.meter_position_m, r.sector_number) for r in got] == [
+            (None, None), (None, None), (12, 1), (12, 1),
+        ]
 
 
 def test_sectors_of_several_circuits_stay_apart(spark):
@@ -337,9 +354,8 @@ def test_sectors_of_several_circuits_stay_apart(spark):
         [("north", 1, "A", 5.0), ("south", 1, "B", 20.0)],
         "circuit string, sector_number int, sector_name string, length_m double",
     ).withColumn("length_m", F.col("length_m").cast("decimal(18,4)"))
-    df = signal(spark, [(1, 4.0)], "Laptrigger_lapdist_dls")
-    got = track.on_track(timeline_of(spark, df), track.sector_spine(lengths)).collect()
-    assert [r.sector_name for r in got] == ["A"]
+    got = track.on_track(driven(spark, [4.0]), track.sector_spine(lengths)).collect()
+    assert [r.sector_name for r in got] == ["A", "A"]
 
 
 @pytest.mark.parametrize("slots,limit", [((1000.0,), 10**6), ((1.0,), 3), ((5.0,), 1)])

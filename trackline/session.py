@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = configured or current
     elif sc.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="trackline-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     else:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     if current is None:
