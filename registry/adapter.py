@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackline.sources.schemas import SCHEMAS
+
 SIGNALS = ["speed", "aps", "gear", "nmot", "accx_can", "accy_can", "pbrake_f", "pbrake_r",
            "Steering_Angle", "Laptrigger_lapdist_dls", "VBOX_Long_Minutes", "VBOX_Lat_Min"]
 PAIRED = SIGNALS[4:6] + SIGNALS[10:]
@@ -95,3 +97,41 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(0.0).alias("rain"),
         )
     )
+
+
+def best_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows shaped like the best-laps file; one in nine lacks its number."""
+    whole = F.col("event_id") % 9 != 0
+    columns = [
+        *_race(),
+        F.when(whole, F.col("user_id") % 10).alias("number"),
+        F.col("event_type").alias("vehicle"),
+        F.lit("Am").alias("class"),
+        (F.col("event_id") % 30).alias("total_driver_laps"),
+    ]
+    for i in range(1, 11):
+        columns.append(F.concat(F.lit("1:"), (F.col("event_id") % (20 + i)).cast("string")).alias(
+            f"bestlap_{i}"
+        ))
+        columns.append((F.col("event_id") % i).alias(f"bestlap_{i}_lapnum"))
+    columns.append(F.concat(F.lit("1:"), F.col("user_id").cast("string")).alias("average"))
+    return events(spark, sf_dir).where(F.col("event_type") == "error").select(*columns)
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows shaped like the provisional results file, filled where a type or a header is odd."""
+    known = {
+        "position": F.col("event_id"),
+        "number": F.col("user_id") % 10,
+        "status": F.col("event_type"),
+        "fl_kph": F.col("value"),
+        "group": F.concat(F.lit("g"), (F.col("event_id") % 4).cast("string")),
+        "ecm_car_id": F.concat(F.lit("c;,"), (F.col("event_id") % 5).cast("string")),
+        "extra_7": F.concat(F.lit("e"), (F.col("event_id") % 6).cast("string")),
+        "driver_extra_5": F.concat(F.lit("d"), (F.col("event_id") % 7).cast("string")),
+    }
+    columns = [
+        known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in SCHEMAS["provisional_results"].fields
+    ]
+    return events(spark, sf_dir).where(F.col("event_type") == "click").select(*_race(), *columns)

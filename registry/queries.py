@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from registry import adapter
 from registry import oracle as O
 from registry.marts import WHOLE_TRACK, Marts, open_marts
 from trackline.functions import weather as W
@@ -20,7 +21,7 @@ from trackline.operators.series import unsplit
 from trackline.operators.signals import VEHICLE
 from trackline.plans import consistency, laps, pages, telemetry, track, weather
 from trackline.sources.catalog import read_kind, select_files, race_files
-from trackline.sources.schemas import SCHEMAS
+from trackline.sources.schemas import HEADERS, SCHEMAS
 from trackline.sources.tables import write_json
 from trackline.session import shared_dir
 
@@ -667,7 +668,9 @@ def _csv_read(kind: str, source: Callable[[Marts], DataFrame]) -> Callable[[Mart
             for race in (1, 2):
                 (file,) = select_files(files, kind, [folder], [race])
                 part = table.where((F.col("circuit") == circuit) & (F.col("race_number") == race))
-                part.select(*SCHEMAS[kind].names).write.option("header", True).option(
+                part.select(
+                    *[F.col(c).alias(HEADERS.get(c, c)) for c in SCHEMAS[kind].names]
+                ).write.option("header", True).option(
                     "timestampFormat", CSV_TIME
                 ).csv(file.path)
         return read_kind(m.spark, kind, root, list(CIRCUIT_FILES.values()))
@@ -689,6 +692,41 @@ add(
 )
 
 
+CLICKS = f"(SELECT *, {O.RACE_SQL} FROM events WHERE event_type = 'click')"
+RESULT_TEXT = {
+    "group": "'g' || CAST(event_id % 4 AS VARCHAR)",
+    "ecm_car_id": "'c;,' || CAST(event_id % 5 AS VARCHAR)",
+    "extra_7": "'e' || CAST(event_id % 6 AS VARCHAR)",
+    "driver_extra_5": "'d' || CAST(event_id % 7 AS VARCHAR)",
+    "position": "event_id",
+    "number": "user_id % 10",
+    "status": "event_type",
+    "fl_kph": "value",
+}
+add(
+    "csv_results",
+    _csv_read("provisional_results", lambda m: adapter.results(m.spark, m.sf_dir)),
+    "SELECT "
+    + ", ".join(
+        f'{RESULT_TEXT.get(c, "NULL")} AS "{c}"' for c in SCHEMAS["provisional_results"].names
+    )
+    + f", {FOLDER}, race_number FROM {CLICKS}",
+)
+add(
+    "best_laps_wide",
+    lambda m: laps.best_laps(adapter.best_laps(m.spark, m.sf_dir)),
+    f"SELECT {O.RACE_SQL}, user_id % 10 AS vehicle_number, event_type AS vehicle, 'Am' AS class,"
+    " event_id % 30 AS total_driver_laps, "
+    + ", ".join(
+        f"'1:' || CAST(event_id % {20 + i} AS VARCHAR) AS bestlap_{i}_elapsed_time,"
+        f" event_id % {i} AS bestlap_{i}_lapnum"
+        for i in range(1, 11)
+    )
+    + ", '1:' || CAST(user_id AS VARCHAR) AS average_best_lap FROM events"
+    " WHERE event_type = 'error' AND event_id % 9 <> 0",
+)
+
+
 def _json_read(m: Marts) -> DataFrame:
     path = f"{shared_dir(m.spark)}/json-{uuid.uuid4().hex}"
     summary = pages.race_summary(m.timeline)

@@ -77,6 +77,17 @@ def metre_metrics(placed: DataFrame) -> DataFrame:
     return placed.groupBy(*PLACE).agg(*aggregates, F.countDistinct("lap").alias("laps_covered"))
 
 
+def matches(placed: DataFrame) -> DataFrame:
+    """Each event with its driver's signature at the metre and whether it follows it."""
+    usual = signature(placed).select(*PLACE, "signature_event_source", "signature_event_share")
+    return _flagged(placed.join(usual, list(PLACE)))
+
+
+def _flagged(joined: DataFrame) -> DataFrame:
+    follows = F.col("event_source") == F.col("signature_event_source")
+    return joined.withColumn("event_match_flag", F.when(follows, 1).otherwise(0))
+
+
 def alignment(placed: DataFrame) -> DataFrame:
     """Each event against its driver's signature and means at the metre.
 
@@ -87,13 +98,9 @@ def alignment(placed: DataFrame) -> DataFrame:
     means = metre_metrics(placed).select(
         *PLACE, *[F.col(f"avg_{m}").alias(f"_mean_{m}") for m, _, _, _ in MEASURES]
     )
-    joined = placed.join(usual.join(means, list(PLACE)), list(PLACE))
-    matches = F.col("event_source") == F.col("signature_event_source")
+    joined = _flagged(placed.join(usual.join(means, list(PLACE)), list(PLACE)))
     return joined.withColumns(
-        {
-            "event_match_flag": F.when(matches, 1).otherwise(0),
-            **{d: F.abs(F.col(m) - F.col(f"_mean_{m}")) for m, _, d, _ in MEASURES},
-        }
+        {d: F.abs(F.col(m) - F.col(f"_mean_{m}")) for m, _, d, _ in MEASURES}
     ).drop(*[f"_mean_{m}" for m, _, _, _ in MEASURES])
 
 
@@ -147,17 +154,20 @@ def audit(placed: DataFrame, least_laps: int = 3, rows: int | None = 200) -> Dat
     The driver average is attached by circuit and vehicle without the vehicle number, so a vehicle
     that ran under two numbers shows once per number.
     """
-    aligned = alignment(placed)
+    # Drivers need only whether events match, so their rows skip the join with the means.
+    driver = ("circuit", "vehicle_id", "vehicle_number")
     drivers = (
-        lap_consistency(aligned)
-        .groupBy("circuit", "vehicle_id", "vehicle_number")
+        matches(placed)
+        .groupBy(*driver, "outing", "lap")
+        .agg(F.avg("event_match_flag").alias("alignment_ratio"))
+        .groupBy(*driver)
         .agg(
             F.countDistinct("lap").alias("laps_analyzed"),
             F.avg("alignment_ratio").alias("avg_alignment_ratio"),
         )
         .drop("vehicle_number")
     )
-    kept = metre_changes(aligned).where(F.col("laps_covered") >= least_laps)
+    kept = metre_changes(alignment(placed)).where(F.col("laps_covered") >= least_laps)
     joined = kept.join(drivers, ["circuit", "vehicle_id"], "left").orderBy(
         F.col("meter_change_ratio").desc_nulls_last(),
         F.col("meter_position_m").asc_nulls_last(),

@@ -77,12 +77,9 @@ def signal_periods(
         *CONTEXT,
         *ORIGIN,
     )
-    # The run collapse orders by meta_time and also reduces it, so the order keeps its own copy.
-    series = Series(SIGNAL_SERIES.keys, ("timestamp", "_meta_order", "telemetry_value"))
-    rows = rows.withColumn("_meta_order", F.col("meta_time"))
     periods = collapse_runs(
-        split(rows, series, slots, max_rows),
-        series,
+        split(rows, SIGNAL_SERIES, slots, max_rows),
+        SIGNAL_SERIES,
         ["telemetry_value"],
         start="start_timestamp",
         end="end_timestamp",
