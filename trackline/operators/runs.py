@@ -49,6 +49,8 @@ def collapse_runs(
             return _all([before[v].eqNullSafe(now[v]) for v in values])
         return _all([F.coalesce(before[v] == now[v], F.lit(False)) for v in values])
 
+    # Both branches below read exactly these columns, so Spark exchanges the rows once for both.
+    df = df.select(CHUNK, KEY, *dict.fromkeys([*series.order, *values, *reducers]))
     rows = series.rows()
     prev = {v: f"_prev_{v}" for v in values}
     marked = df.withColumns(
