@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from registry.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
@@ -25,11 +26,12 @@ def ordered(rows):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(queries()) == set(oracle_sql())
-    assert len(queries()) >= 60
+    assert set(QUERIES) <= set(queries())
+    assert set(QUERIES) <= set(oracle_sql())
+    assert len(QUERIES) >= 60
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
