@@ -60,6 +60,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
+    name: str | None = None,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -74,13 +75,18 @@ def mix(
     and rows are ordered inside their range only. A source with a third of all rows is spread over
     its ranges.
 
-    Returns the key, ``size``, ``source_size``, ``target`` (double) and ``taken``. A null or empty
+    ``name`` is the column that u comes from, the key by default. Returns the key, ``size``, ``source_size``, ``target`` (double) and ``taken``. A null or empty
     text has size 0 and gives 0. A null source is a source, the last. Rows that repeat are
     documents of their own. A null key ranks as an empty one. An empty table gives no rows; if
     there are no words at all, every target is 0. Other columns are not read.
     """
     sized = cut(
-        docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+        docs.select(
+            F.col(key).alias("key"),
+            F.col(name or key).alias("name"),
+            F.col(source).alias("source"),
+            word_count(F.col(text)).alias("size"),
+        )
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut(source_targets(totals, weights, share, most).toDF("of", "source_size", "target"))
@@ -93,7 +99,7 @@ def mix(
     planned = targets.withColumn(
         "copies", F.when(F.col("source_size") > 0, F.floor(times)).otherwise(0).cast("long")
     ).withColumn("p", F.when(F.col("source_size") > 0, times - F.col("copies")).otherwise(0.0))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("name").cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     odds = (u / (1.0 - u)) / (F.col("p") / (1.0 - F.col("p")))
     ranked = (
@@ -122,7 +128,7 @@ def mix(
         )
     )
     inside = (
-        Window.partitionBy("of", "slot").orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("of", "slot").orderBy("rank", "name", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = ranked.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         side(edges), F.col("of").eqNullSafe(F.col("edge_of")), "left"
@@ -141,3 +147,28 @@ def mix(
         "target",
         ((F.col("copies") + more) * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def take(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[int] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+) -> DataFrame:
+    """Every document as often as the mix takes it, with all its columns.
+
+    Documents are found again by their number in the table, which has to be read in the same
+    order twice, as stored tables are.
+    """
+    numbered = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), F.col(source).alias("source"),
+        F.col(key).alias("name"), F.monotonically_increasing_id().alias("number"),
+    )
+    taken = mix(numbered, "number", "text", "source", weights, share, most, name="name")
+    copies = taken.where("taken > 0").select(
+        "number", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("copy")
+    )
+    return numbered.join(copies, "number").select("row.*")

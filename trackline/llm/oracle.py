@@ -91,4 +91,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM verdict
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": MIXING, "op7_quality_rules": QUALITY}
+LINES = r"""
+WITH docs AS (
+  SELECT doc_id, text, source, string_split(coalesce(text, ''), chr(10)) AS lines, row_number() OVER () AS r
+  FROM documents
+), line AS (
+  SELECT r, coalesce(text, '') AS text, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM docs
+), keyed AS (
+  SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line
+), once AS (
+  SELECT k, text, min(coalesce('s' || source, '')) AS site FROM keyed WHERE k <> '' GROUP BY k, text
+), bad AS (
+  SELECT k FROM once GROUP BY k HAVING count(DISTINCT site) >= 5
+), done AS (
+  SELECT r, sum((k <> '')::INT)::BIGINT AS n_lines, sum((b.k IS NOT NULL)::INT)::BIGINT AS n_removed,
+         string_agg(line, chr(10) ORDER BY n) FILTER (b.k IS NULL) AS cleaned
+  FROM keyed LEFT JOIN bad b USING (k) GROUP BY r
+)
+SELECT doc_id, n_lines, n_removed, CASE WHEN n_removed = 0 THEN text ELSE coalesce(cleaned, '') END AS text
+FROM docs JOIN done USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": MIXING, "op7_quality_rules": QUALITY, "op8_line_dedup": LINES}

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackline.llm import mixing, packing, quality_rules
+from trackline.llm import bagminhash, line_dedup, mixing, packing, quality_rules
 from trackline.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,8 +26,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.clean(table(spark, sf_dir, "documents"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.col("cleaned").alias("text"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_minhash": op10_minhash,
 }
