@@ -104,7 +104,7 @@ def mix(
     odds = (u / (1.0 - u)) / (F.col("p") / (1.0 - F.col("p")))
     ranked = (
         sized.join(side(planned), F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("rank", F.when(F.col("p") > 0, odds))
+        .withColumn("rank", F.when(F.col("p") > 0, odds).otherwise(u / (1.0 - u)))
         .withColumn("slot", F.floor(F.col("rank") / (F.col("rank") + 1.0) * SLOTS))
         .drop("source")
     )
