@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.llm import bagminhash, html_text, line_dedup, mixing, packing, quality_rules, suffix_dedup, vector_dedup
+from trackline.llm import (
+    bagminhash,
+    html_text,
+    line_dedup,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    suffix_dedup,
+    toxicity,
+    vector_dedup,
+)
 from trackline.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +41,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(table(spark, sf_dir, "documents"))
+
+
 def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -43,6 +58,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.col("cleaned").alias("text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,8 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_quality_model": op5_quality_model,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
 }
