@@ -200,7 +200,7 @@ CTES["lap_readings"] = f"""SELECT {cols(LK, 'l.')}, l.lap_start_timestamp_utc,
  AND r.time_utc BETWEEN l.lap_start_timestamp_utc AND l.lap_end_timestamp_utc"""
 CTES["lap_facts"] = f"""SELECT {cols(LK, 'l.')}, l.lap_start_timestamp_utc, l.lap_end_timestamp_utc,
  l.lap_duration_seconds, l.lap_duration_minutes, {cols(DETAILS, 'l.')},
- {each(WEATHER, 'round(s.x_{0} + 1e-6, 3) AS lap_max_{0}, round(s.a_{0} + 1e-6, 3) AS lap_mean_{0}, round(s.m_{0} + 1e-6, 3) AS lap_median_{0}')}
+ {each(WEATHER, 'round(s.x_{0}, 3) AS lap_max_{0}, round(s.a_{0}, 3) AS lap_mean_{0}, round(s.m_{0}, 3) AS lap_median_{0}')}
  FROM combined l LEFT JOIN (SELECT {cols(LK)},
   {each(WEATHER, 'max({0}) AS x_{0}, avg({0}) AS a_{0}, median({0}) AS m_{0}')}
   FROM lap_readings GROUP BY ALL) s
@@ -317,6 +317,14 @@ def box_sql(source, key, value):
  GROUP BY v.{key}, q1, median, q3, n"""
 
 
+def outliers_sql(source, key, value, columns):
+    picked = ", ".join(f"v.{c.strip()}" for c in columns.split(","))
+    return f"""SELECT {picked} FROM (SELECT * FROM {source} WHERE {value} IS NOT NULL) v
+ JOIN (SELECT {key}, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.75) AS q3 FROM {source}
+  WHERE {value} IS NOT NULL GROUP BY {key}) q ON v.{key} = q.{key}
+ WHERE v.{value} NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"""
+
+
 def bins_sql(source, column, bins, where="TRUE", metric=None):
     label = f"'{metric}' AS metric, " if metric else ""
     return f"""SELECT {label}bin, lo + bin * w AS lower, lo + (bin + 1) * w AS upper, count(*) AS count

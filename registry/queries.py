@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,6 @@ from registry import adapter
 from registry import oracle as O
 from registry.marts import WHOLE_TRACK, Marts, open_marts
 from trackline.functions import weather as W
-from trackline.functions.numbers import stable_round
 from trackline.operators import stats
 from trackline.operators.series import unsplit
 from trackline.operators.signals import VEHICLE
@@ -23,7 +22,7 @@ from trackline.plans import consistency, laps, pages, telemetry, track, weather
 from trackline.sources.catalog import read_kind, select_files, race_files
 from trackline.sources.schemas import HEADERS, SCHEMAS
 from trackline.sources.tables import write_json
-from trackline.session import shared_dir
+from trackline.session import remove_at_end, shared_dir
 
 
 @dataclass(frozen=True)
@@ -66,6 +65,11 @@ def comparable(df: DataFrame, rounded: dict[str, int]) -> DataFrame:
     return df.select(*columns)
 
 
+def stable_round(value: Column, digits: int) -> Column:
+    """A value for comparison: a thousandth of the last digit keeps sums in another order off a border."""
+    return F.round(value + F.lit(10.0 ** -(digits + 3)), digits)
+
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -250,9 +254,10 @@ add(
  FROM (SELECT *, sum(percentage) OVER (PARTITION BY direction_index ORDER BY band_order) AS outer_value,
   sum(percentage) OVER (PARTITION BY direction_index) AS direction_percentage
   FROM (SELECT direction_index, speed_bin, sample_count,
-   split_part('North,North-Northeast,Northeast,East-Northeast,East,East-Southeast,Southeast,"""
-    "South-Southeast,South,South-Southwest,Southwest,West-Southwest,West,West-Northwest,"
-    """Northwest,North-Northwest', ',', CAST(direction_index + 1 AS INT)) AS direction_label,
+   ['North', 'North-Northeast', 'Northeast', 'East-Northeast', 'East', 'East-Southeast',
+    'Southeast', 'South-Southeast', 'South', 'South-Southwest', 'Southwest', 'West-Southwest',
+    'West', 'West-Northwest', 'Northwest', 'North-Northwest'][CAST(direction_index + 1 AS INT)]
+    AS direction_label,
    CASE speed_bin WHEN '00-05 mph' THEN 0 WHEN '05-10 mph' THEN 1 WHEN '10-15 mph' THEN 2
     WHEN '15-20 mph' THEN 3 ELSE 4 END AS band_order,
    sample_count / sum(sample_count) OVER () * 100 AS percentage FROM rose))""",
@@ -267,17 +272,26 @@ add(
  sin(radians((wind_direction_degrees + 180) % 360)) * wind_speed_mph AS u_component_mph,
  cos(radians((wind_direction_degrees + 180) % 360)) * wind_speed_mph AS v_component_mph
  FROM (SELECT time_utc, wind_speed_mph, wind_speed_kph, wind_direction_degrees, wind_direction_label
-  FROM wind ORDER BY time_utc, {WIND_ORDER} LIMIT 2000)
+  FROM wind)
  WHERE time_utc IS NOT NULL AND wind_speed_mph IS NOT NULL AND wind_direction_degrees IS NOT NULL""",
     "wind_speed_kph u_component_mph v_component_mph",
 )
-add(
-    "wind_recent",
-    lambda m: pages.wind_recent(m.wind),
+RECENT_SQL = (
     "SELECT time_utc, wind_speed_mph, wind_speed_kph, wind_direction_degrees, wind_direction_label,"
-    f" circuit, race_number FROM wind ORDER BY time_utc DESC, {WIND_ORDER} LIMIT 500",
+    " circuit, race_number FROM wind"
+)
+add("wind_recent", lambda m: pages.wind_recent(m.wind), RECENT_SQL, "wind_speed_kph")
+add(
+    "wind_recent_top",
+    lambda m: pages.wind_recent(m.wind, rows=500),
+    f"{RECENT_SQL} ORDER BY time_utc DESC, {WIND_ORDER} LIMIT 500",
     "wind_speed_kph",
 )
+add(
+    "wind_rose_without_bands",
+    lambda m: pages.wind_rose(m.wind.drop("wind_speed_band_mph")),
+    "SELECT * FROM rose",
+)
 
 # Track and audit
 
@@ -337,14 +351,20 @@ METRE_VALUES = ["meter_alignment_ratio", "meter_change_ratio", "avg_signature_ev
 add("meter_changes",
     lambda m: consistency.metre_changes(consistency.alignment(m.audit_placed)),
     "SELECT * FROM by_metre", METRE_VALUES)
+AUDIT_SQL = """SELECT a.*, d.laps_analyzed, d.avg_alignment_ratio FROM by_metre a
+ LEFT JOIN by_driver d ON a.circuit = d.circuit AND a.vehicle_id = d.vehicle_id
+ WHERE a.laps_covered >= 3"""
 add(
     "consistency_audit",
     lambda m: consistency.audit(m.audit_placed),
-    """SELECT a.*, d.laps_analyzed, d.avg_alignment_ratio FROM by_metre a
- LEFT JOIN by_driver d ON a.circuit = d.circuit AND a.vehicle_id = d.vehicle_id
- WHERE a.laps_covered >= 3
- ORDER BY meter_change_ratio DESC, meter_position_m, a.vehicle_number, a.circuit, a.vehicle_id,
-  laps_analyzed LIMIT 200""",
+    AUDIT_SQL,
+    [*METRE_VALUES, "avg_alignment_ratio"],
+)
+add(
+    "consistency_audit_top",
+    lambda m: consistency.audit(m.audit_placed, rows=200),
+    f"""{AUDIT_SQL} ORDER BY meter_change_ratio DESC, meter_position_m, a.vehicle_number, a.circuit,
+ a.vehicle_id, laps_analyzed LIMIT 200""",
     [*METRE_VALUES, "avg_alignment_ratio"],
 )
 
@@ -357,13 +377,16 @@ add(
     " total_vehicles, count(DISTINCT circuit) AS total_circuits FROM timeline"
     " WHERE race_number IS NOT NULL",
 )
-add(
-    "race_summary",
-    lambda m: pages.race_summary(m.timeline),
+RACE_SQL = (
     "SELECT circuit, race_number, count(DISTINCT vehicle_id) AS vehicle_count,"
     " count(DISTINCT lap) AS total_laps, avg(speed) AS avg_speed FROM timeline"
     " WHERE speed IS NOT NULL GROUP BY circuit, race_number"
-    " ORDER BY race_number DESC, circuit LIMIT 10",
+)
+add("race_summary", lambda m: pages.race_summary(m.timeline), RACE_SQL, "avg_speed")
+add(
+    "race_summary_top",
+    lambda m: pages.race_summary(m.timeline, 10),
+    f"{RACE_SQL} ORDER BY race_number DESC, circuit LIMIT 10",
     "avg_speed",
 )
 add(
@@ -466,7 +489,7 @@ add(
     lambda m: pages.performance_table(pages.vehicle_performance(m.timeline, "south")),
     "SELECT vehicle_id, vehicle_number, count(DISTINCT lap) AS total_laps, "
     + ", ".join(
-        f"printf('%.{n}f', round(avg({c}) + 1e-{n + 3}, {n})) AS {out}"
+        f"printf('%.{n}f', round(avg({c}), {n})) AS {out}"
         for c, out, n in (("speed", "avg_speed", 2), ("nmot", "avg_rpm", 0),
                           ("aps", "avg_throttle", 1), ("gear", "avg_gear", 1))
     )
@@ -480,24 +503,28 @@ add("gear_usage", lambda m: pages.gear_usage(m.timeline, "north"),
     " GROUP BY gear")
 LINE_ORDER = "event_source, vbox_long_minutes, vbox_lat_minutes, speed"
 add(
-    "racing_line",
-    lambda m: pages.racing_line(m.timeline, "north"),
+    "racing_line_top",
+    lambda m: pages.racing_line(m.timeline, "north", rows=10_000),
     f"SELECT {O.cols(pages.LINE)} FROM timeline WHERE circuit = 'north' AND {O.COORDS}"
     " AND speed IS NOT NULL AND lap <= 5"
     f" ORDER BY vehicle_id, lap, event_timestamp, {LINE_ORDER} LIMIT 10000",
 )
+add(
+    "racing_line",
+    lambda m: pages.racing_line(m.timeline, "north"),
+    f"SELECT {O.cols(pages.LINE)} FROM timeline WHERE circuit = 'north' AND {O.COORDS}"
+    " AND speed IS NOT NULL AND lap <= 5",
+)
 add(
     "vehicle_lines",
     lambda m: pages.vehicle_lines(m.timeline, "north"),
-    f"SELECT {O.cols(pages.LINE)} FROM timeline WHERE circuit = 'north' AND {O.COORDS} AND lap = 1"
-    f" ORDER BY vehicle_id, event_timestamp, {LINE_ORDER} LIMIT 20000",
+    f"SELECT {O.cols(pages.LINE)} FROM timeline WHERE circuit = 'north' AND {O.COORDS} AND lap = 1",
 )
 add(
     "lap_progression",
     lambda m: pages.lap_progression(m.timeline, "south"),
     "SELECT lap, vehicle_id, avg(speed) AS avg_speed FROM timeline WHERE circuit = 'south'"
-    " AND lap IS NOT NULL AND speed IS NOT NULL GROUP BY lap, vehicle_id"
-    " ORDER BY lap, vehicle_id LIMIT 500",
+    " AND lap IS NOT NULL AND speed IS NOT NULL GROUP BY lap, vehicle_id",
     "avg_speed",
 )
 
@@ -545,11 +572,7 @@ add(
     + " FROM lap_facts",
     ["avg_lap_duration_seconds", *SUMMARY],
 )
-DETAIL_SQL = (
-    f"SELECT {O.cols(pages.LAP_DETAIL)} FROM lap_facts WHERE lap IS NOT NULL ORDER BY lap, circuit,"
-    " race_number, vehicle_id, vehicle_number, outing, lap_start_timestamp_utc,"
-    " lap_end_timestamp_utc LIMIT 500"
-)
+DETAIL_SQL = f"SELECT {O.cols(pages.LAP_DETAIL)} FROM lap_facts WHERE lap IS NOT NULL"
 add("lap_detail", lambda m: pages.lap_detail(m.laps), DETAIL_SQL)
 TEMPERATURE_SQL = " UNION ALL ".join(
     f"SELECT lap, '{label}' AS metric, {c} AS value FROM lap_facts WHERE {c} IS NOT NULL"
@@ -560,11 +583,21 @@ add("temperature_unpivot", lambda m: pages.temperatures(m.laps), TEMPERATURE_SQL
 add("temperature_boxes", lambda m: pages.temperature_boxes(m.laps)[0],
     O.box_sql(f"({TEMPERATURE_SQL})", "metric", "value"),
     "q1 median q3")
+add(
+    "temperature_outliers",
+    lambda m: pages.temperature_boxes(m.laps)[1],
+    O.outliers_sql(f"({TEMPERATURE_SQL})", "metric", "value", "lap, metric, value"),
+)
 add("humidity_series", lambda m: pages.humidity_series(m.laps),
     "SELECT lap, lap_mean_humidity_percentage AS value FROM lap_facts"
     " WHERE lap_mean_humidity_percentage IS NOT NULL")
 add("tukey_box", lambda m: pages.duration_boxes(m.laps)[0],
     O.box_sql("lap_facts", "lap", "lap_duration_seconds"), "q1 median q3")
+add(
+    "tukey_outliers",
+    lambda m: pages.duration_boxes(m.laps)[1].select(*pages.LAP_DETAIL),
+    O.outliers_sql("lap_facts", "lap", "lap_duration_seconds", O.cols(pages.LAP_DETAIL)),
+)
 add(
     "best_lap",
     lambda m: pages.best_lap_per_driver(m.laps),
@@ -599,6 +632,14 @@ add(
     lambda m: pages.points_per_vehicle(pages.track_points(m.timeline, "north", 3)),
     f"SELECT vehicle_id, count(*) AS count FROM ({TRACK_SQL}) GROUP BY vehicle_id",
 )
+WANTED = ["V001", "V002", "V003", "V004", "V005", "none"]
+add(
+    "track_points_per_wanted_vehicle",
+    lambda m: pages.points_per_vehicle(pages.track_points(m.timeline, "north", 3, WANTED), WANTED),
+    f"SELECT vehicle_id, count(lap) AS count FROM (SELECT unnest({WANTED!r}) AS vehicle_id)"
+    " LEFT JOIN (SELECT vehicle_id, lap FROM timeline WHERE circuit = 'north' AND lap = 3"
+    f" AND {O.COORDS}) USING (vehicle_id) GROUP BY vehicle_id",
+)
 add(
     "cumulative_distance",
     lambda m: pages.cumulative_distance(
@@ -657,14 +698,16 @@ CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 CIRCUIT_FILES = {"north": "barber", "south": "cota"}
 
 
-def _csv_read(kind: str, source: Callable[[Marts], DataFrame]) -> Callable[[Marts], DataFrame]:
+def _csv_read(
+    kind: str, source: Callable[[Marts], DataFrame], circuits: dict[str, str] = CIRCUIT_FILES
+) -> Callable[[Marts], DataFrame]:
     """Write a table as race files in the catalogue's folders, then read them as race files."""
 
     def run(m: Marts) -> DataFrame:
-        root = f"{shared_dir(m.spark)}/race-files-{uuid.uuid4().hex}"
+        root = remove_at_end(m.spark, f"{shared_dir(m.spark)}/race-files-{uuid.uuid4().hex}")
         table = source(m)
         files = race_files(root)
-        for circuit, folder in CIRCUIT_FILES.items():
+        for circuit, folder in circuits.items():
             for race in (1, 2):
                 (file,) = select_files(files, kind, [folder], [race])
                 part = table.where((F.col("circuit") == circuit) & (F.col("race_number") == race))
@@ -673,7 +716,7 @@ def _csv_read(kind: str, source: Callable[[Marts], DataFrame]) -> Callable[[Mart
                 ).write.option("header", True).option(
                     "timestampFormat", CSV_TIME
                 ).csv(file.path)
-        return read_kind(m.spark, kind, root, list(CIRCUIT_FILES.values()))
+        return read_kind(m.spark, kind, root, list(circuits.values()))
 
     return run
 
@@ -692,6 +735,71 @@ add(
 )
 
 
+for _kind, _where in (
+    ("lap_start", "event_type = 'signup' AND event_id % 4 = 0"),
+    ("lap_end", "event_type = 'purchase' AND event_id % 4 = 1"),
+    ("lap_time", "event_type = 'click'"),
+):
+    add(
+        f"csv_{_kind}",
+        _csv_read(_kind, lambda m, kind=_kind: m.lap_events(kind)),
+        f"SELECT * REPLACE ({FOLDER}) FROM (SELECT {O.ROW_COLUMNS}, ts AS timestamp FROM base WHERE {_where})",
+    )
+
+
+def _us_weather(m: Marts) -> DataFrame:
+    return m.weather().withColumn("time_utc_str", F.date_format("time_utc_str", "M/d/yyyy h:mm:ss a"))
+
+
+add(
+    "csv_weather_us_times",
+    _csv_read("weather", _us_weather),
+    f"SELECT * EXCLUDE (time_utc), date_trunc('second', time_utc) AS time_utc_str, CAST(0 AS DOUBLE) AS rain"
+    f" FROM (SELECT * REPLACE ({FOLDER}) FROM readings)",
+)
+add(
+    "csv_best_laps",
+    _csv_read("best_laps", lambda m: adapter.best_laps(m.spark, m.sf_dir)),
+    f"SELECT {FOLDER}, race_number, CASE WHEN event_id % 9 <> 0 THEN user_id % 10 END AS number,"
+    " event_type AS vehicle, 'Am' AS class, event_id % 30 AS total_driver_laps, "
+    + ", ".join(
+        f"'1:' || CAST(event_id % {20 + i} AS VARCHAR) AS bestlap_{i}, event_id % {i} AS bestlap_{i}_lapnum"
+        for i in range(1, 11)
+    )
+    + ", '1:' || CAST(user_id AS VARCHAR) AS average"
+    f" FROM (SELECT *, {O.RACE_SQL} FROM events WHERE event_type = 'error')",
+)
+
+
+def _shaped(kind: str, known: dict[str, str]) -> Callable[[Marts], DataFrame]:
+    """Click events in the columns of a result file, from one SQL expression per known column."""
+
+    def run(m: Marts) -> DataFrame:
+        clicks = m.spark.read.parquet(f"{m.sf_dir}/events.parquet").where("event_type = 'click'")
+        columns = [F.expr(known.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in SCHEMAS[kind].fields]
+        return clicks.select(*adapter._race(), *columns)
+
+    return run
+
+
+BY_CLASS = {"class_type": "event_type", "pos": "event_id", "number": "user_id % 10", "best_lap_kph": "value"}
+ENDURANCE = {"number": "user_id % 10", "lap_number": "event_id % 30", "lap_improvement": "event_id % 3",
+             "class": "event_type", "kph": "value"}
+for _name, _kind, _known, _circuits in (
+    ("csv_results_by_class", "results_by_class", BY_CLASS, CIRCUIT_FILES),
+    ("csv_official_by_class", "official_results_by_class", BY_CLASS,
+     {"north": "indianapolis", "south": "road_america"}),
+    ("csv_endurance", "analysis_endurance", ENDURANCE, CIRCUIT_FILES),
+):
+    add(
+        _name,
+        _csv_read(_kind, _shaped(_kind, _known), _circuits),
+        "SELECT " + ", ".join(f'{_known.get(c, "NULL")} AS "{c}"' for c in SCHEMAS[_kind].names)
+        + f", CASE circuit WHEN 'north' THEN '{_circuits['north']}' ELSE '{_circuits['south']}' END AS circuit,"
+        f" race_number FROM (SELECT *, {O.RACE_SQL} FROM events WHERE event_type = 'click')",
+    )
+
+
 CLICKS = f"(SELECT *, {O.RACE_SQL} FROM events WHERE event_type = 'click')"
 RESULT_TEXT = {
     "group": "'g' || CAST(event_id % 4 AS VARCHAR)",
@@ -728,7 +836,7 @@ add(
 
 
 def _json_read(m: Marts) -> DataFrame:
-    path = f"{shared_dir(m.spark)}/json-{uuid.uuid4().hex}"
+    path = remove_at_end(m.spark, f"{shared_dir(m.spark)}/json-{uuid.uuid4().hex}")
     summary = pages.race_summary(m.timeline)
     write_json(summary, path)
     return m.spark.read.schema(summary.schema).json(path)

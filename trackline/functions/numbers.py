@@ -6,16 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def stable_round(value: Column, digits: int) -> Column:
-    """Round half up, the same for any order in which the value was summed.
-
-    A mean of measured decimals often lies exactly between two results, and the last bit of its
-    sum, which depends on the order of the rows, would decide. A thousandth of the last digit
-    lifts such values clear of the border.
-    """
-    return F.round(value + F.lit(10.0 ** -(digits + 3)), digits)
-
-
 def fixed(value: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, for tables on a page."""
-    return F.format_string(f"%.{digits}f", stable_round(value, digits))
+    return F.format_string(f"%.{digits}f", F.round(value, digits))

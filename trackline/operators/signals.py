@@ -20,11 +20,6 @@ def extract(telemetry: DataFrame, name: str, alias: str) -> DataFrame:
     )
 
 
-def latest(order: Sequence[str], carried: Sequence[str]) -> Column:
-    """Aggregate: the ``carried`` columns of the row with the greatest ``order``, NULL lowest."""
-    return F.max_by(F.struct(*carried), F.struct(*order))
-
-
 def pair_channels(
     telemetry: DataFrame,
     left: tuple[str, str, dict[str, str]],

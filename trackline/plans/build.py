@@ -68,8 +68,8 @@ def tables(spark: SparkSession, out: str) -> dict[str, Callable[[], DataFrame]]:
         return lambda: read_table(spark, out, name)
 
     found = {name: stored(name) for name in STORED}
-    for signal in telemetry.SIGNAL_TABLES:
-        found[f"int_telemetry_data_{signal.lower()}".replace("lat_min", "lat_minutes")] = (
+    for signal, column in telemetry.SIGNAL_TABLES.items():
+        found[f"int_telemetry_data_{column}"] = (
             lambda signal=signal: telemetry.signal_table(stored("telemetry")(), signal)
         )
     for signal, (measure, _) in telemetry.SINGLE_SIGNALS.items():
@@ -104,10 +104,11 @@ def publish_raw(
     for f in race_files(root):
         if circuits is not None and f.circuit not in circuits:
             continue
-        if f.race_number is None or (races is not None and f.race_number not in races):
+        if races is not None and f.race_number not in races:
             continue
         df = read_kind(spark, f.kind, root, [f.circuit], [f.race_number])
-        columns = SCHEMAS[f.kind].names
-        names.append(f"raw_{f.circuit}_race_{f.race_number}_{f.kind}")
+        race = "" if f.race_number is None else f"race_{f.race_number}_"
+        columns = SCHEMAS[f.kind].names if f.kind in SCHEMAS else df.drop("circuit", "race_number").columns
+        names.append(f"raw_{f.circuit}_{race}{f.kind}")
         publish_view(df.select(*[F.col(f"`{c}`") for c in columns]), names[-1])
     return names

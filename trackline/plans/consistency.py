@@ -148,7 +148,7 @@ def metre_changes(aligned: DataFrame) -> DataFrame:
     )
 
 
-def audit(placed: DataFrame, least_laps: int = 3, rows: int | None = 200) -> DataFrame:
+def audit(placed: DataFrame, least_laps: int = 3, rows: int | None = None) -> DataFrame:
     """Metres where drivers deviate most from their usual behaviour, greatest change first.
 
     The driver average is attached by circuit and vehicle without the vehicle number, so a vehicle

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackline.functions.numbers import stable_round
 from trackline.functions.times import local_time, seconds_between
 from trackline.operators.intervals import LEVELS, join_points_in_intervals
 from trackline.operators.quantiles import MAX_GROUP_ROWS, percentiles_by_group
@@ -161,7 +160,7 @@ def with_weather(
     # Plain equality: a lap with a NULL in its key keeps its row and gets no statistics.
     joined = laps.join(statistics, list(LAP), "left")
     rounded = [
-        stable_round(F.col(f"lap_{s}_{m}"), 3).alias(f"lap_{s}_{m}")
+        F.round(F.col(f"lap_{s}_{m}"), 3).alias(f"lap_{s}_{m}")
         for m in MEASURES
         for s in ("max", "mean", "median")
     ]

@@ -72,7 +72,7 @@ def overview_counts(timeline: DataFrame) -> DataFrame:
     )
 
 
-def race_summary(timeline: DataFrame, rows: int | None = 10) -> DataFrame:
+def race_summary(timeline: DataFrame, rows: int | None = None) -> DataFrame:
     """Vehicles, laps and mean speed per race, newest race first.
 
     Rows are summed per vehicle and lap first: two distinct counts over the rows themselves would
@@ -174,7 +174,7 @@ LINE = ("vbox_long_minutes", "vbox_lat_minutes", "speed", "vehicle_id", "lap")
 
 
 def racing_line(
-    timeline: DataFrame, circuit: str, last_lap: int = 5, rows: int | None = 10_000
+    timeline: DataFrame, circuit: str, last_lap: int = 5, rows: int | None = None
 ) -> DataFrame:
     """Position and speed of the first laps, by vehicle, lap and time."""
     points = timeline.where(
@@ -189,7 +189,7 @@ def racing_line(
 
 
 def vehicle_lines(
-    timeline: DataFrame, circuit: str, lap: int = 1, rows: int | None = 20_000
+    timeline: DataFrame, circuit: str, lap: int = 1, rows: int | None = None
 ) -> DataFrame:
     points = timeline.where(
         (F.col("circuit") == circuit)
@@ -201,7 +201,7 @@ def vehicle_lines(
     return _top(points, order, rows).select(*LINE)
 
 
-def lap_progression(timeline: DataFrame, circuit: str, rows: int | None = 500) -> DataFrame:
+def lap_progression(timeline: DataFrame, circuit: str, rows: int | None = None) -> DataFrame:
     averages = (
         timeline.where(
             (F.col("circuit") == circuit) & F.col("lap").isNotNull() & F.col("speed").isNotNull()
@@ -271,7 +271,7 @@ LAP_DETAIL = ("circuit", "race_number", "vehicle_id", "vehicle_number", "lap",
               "lap_mean_humidity_percentage", "lap_mean_pressure_inches")
 
 
-def lap_detail(laps: DataFrame, filters: Filters = None, rows: int | None = 500) -> DataFrame:
+def lap_detail(laps: DataFrame, filters: Filters = None, rows: int | None = None) -> DataFrame:
     found = apply_filters(laps, filters).where(F.col("lap").isNotNull())
     order = _asc("lap", "circuit", "race_number", "vehicle_id", "vehicle_number", "outing",
                  "lap_start_timestamp_utc", "lap_end_timestamp_utc")
@@ -326,23 +326,32 @@ VEHICLE_TRACK = Series(("vehicle_id",), ("event_timestamp", "event_source"))
 
 
 def track_points(
-    timeline: DataFrame, circuit: str, lap: int, vehicles: Sequence[str] | None = None
+    timeline: DataFrame,
+    circuit: str,
+    lap: int,
+    vehicles: Sequence[str] | None = None,
+    count: int = 3,
 ) -> DataFrame:
-    """Positions of a lap for up to three vehicles; by default the first three of the circuit."""
+    """Positions of a lap for the wanted vehicles; if none are named, the first ``count`` of the circuit."""
     if vehicles is None:
-        vehicles = first_vehicles(timeline, {"circuit": circuit})
+        vehicles = first_vehicles(timeline, {"circuit": circuit}, count)
     return timeline.where(
         (F.col("circuit") == circuit)
         & (F.col("lap") == lap)
-        & F.col("vehicle_id").isin(*list(vehicles)[:3])
+        & F.col("vehicle_id").isin(*vehicles)
         & F.col("vbox_long_minutes").isNotNull()
         & F.col("vbox_lat_minutes").isNotNull()
     ).select("vbox_long_minutes", "vbox_lat_minutes", "speed", "vehicle_id", "lap",
              "event_timestamp", "event_source")
 
 
-def points_per_vehicle(points: DataFrame) -> DataFrame:
-    return points.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("count"))
+def points_per_vehicle(points: DataFrame, vehicles: Sequence[str] | None = None) -> DataFrame:
+    """Number of points per vehicle; wanted vehicles without points count zero."""
+    counts = points.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("count"))
+    if vehicles is None:
+        return counts
+    wanted = points.sparkSession.createDataFrame([(v,) for v in vehicles], "vehicle_id string").distinct()
+    return wanted.join(counts, "vehicle_id", "left").fillna(0, ["count"])
 
 
 def cumulative_distance(
@@ -482,8 +491,8 @@ def wind_rose_stack(rose: DataFrame) -> DataFrame:
     ).orderBy("direction_index", "band_order")
 
 
-def wind_timeline(wind: DataFrame, filters: Filters = None, rows: int | None = 2000) -> DataFrame:
-    """The earliest readings in order of time."""
+def wind_timeline(wind: DataFrame, filters: Filters = None, rows: int | None = None) -> DataFrame:
+    """Readings in order of time; the earliest ``rows`` if given."""
     order = _asc("time_utc", "circuit", "race_number", "wind_direction_degrees", "wind_speed_mph")
     return _top(apply_filters(wind, filters), order, rows).select(
         "time_utc", "wind_speed_mph", "wind_speed_kph", "wind_direction_degrees",
@@ -498,8 +507,8 @@ def wind_vectors(readings: DataFrame) -> DataFrame:
     )
 
 
-def wind_recent(wind: DataFrame, filters: Filters = None, rows: int | None = 500) -> DataFrame:
-    """The latest readings, newest first."""
+def wind_recent(wind: DataFrame, filters: Filters = None, rows: int | None = None) -> DataFrame:
+    """Readings, newest first; the latest ``rows`` if given."""
     found = apply_filters(wind, filters).where(
         F.col("wind_speed_mph").isNotNull() | F.col("wind_direction_degrees").isNotNull()
     )

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +36,8 @@ def use_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local master, where driver and executors are one machine, gets a folder of its own
-    when the setting is absent.
+    Without the setting, a local master, where driver and executors are one machine, uses a folder
+    in the warehouse of its session.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
@@ -48,8 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     if configured or current:
         base = configured or current
     elif sc.master.startswith("local"):
-        base = tempfile.mkdtemp(prefix="trackline-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/trackline-{uuid.uuid4().hex}"
+        remove_at_end(spark, base)
     else:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     if current is None:
@@ -57,6 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def remove_at_end(spark: SparkSession, path: str) -> str:
+    """Have the file system remove a path when the driver ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def write_shared(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a table to the shared folder and return it read back, with its lineage cut."""
     spark = df.sparkSession
@@ -67,4 +71,5 @@ def write_shared(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -
         writer = df.hint("rebalance", *partition_by).write.mode("errorifexists")
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,62 +4,250 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TYPES = {
-    "s": T.StringType(),
-    "l": T.LongType(),
-    "d": T.DoubleType(),
-    "t": T.TimestampType(),
-}
-
-
-def _schema(text: str) -> T.StructType:
-    fields = (entry.split(":") for entry in text.split())
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
-
-
-_LAP_EVENT = (
-    "expire_at:t lap:l meta_event:s meta_session:s meta_source:s meta_time:t "
-    "original_vehicle_id:s outing:l"
-)
-_BY_CLASS = (
-    "class_type:s pos:l pic:l number:l vehicle:s laps:l elapsed:s gap_first:s gap_previous:s "
-    "best_lap_num:l best_lap_time:s best_lap_kph:d"
-)
-_RESULTS = (
-    "position:l number:l status:s laps:l total_time:s gap_first:s gap_previous:s fl_lapnum:l "
-    "fl_time:s fl_kph:d class:s group:s division:s vehicle:s tires:s ecm_participant_id:s "
-    "ecm_team_id:s ecm_category_id:s ecm_car_id:s ecm_brand_id:s ecm_country_id:s extra_7:s "
-    "extra_8:s extra_9:s sort_key:s driver_extra_3:s driver_extra_4:s driver_extra_5:s"
-)
-
-# Column lists of the race files.
+# Column lists of the race files, in the order of the files.
 SCHEMAS: dict[str, T.StructType] = {
-    "telemetry_data": _schema(
-        f"{_LAP_EVENT} telemetry_name:s telemetry_value:d timestamp:t vehicle_id:s vehicle_number:l"
+    "telemetry_data": T.StructType(
+        [
+            T.StructField("expire_at", T.TimestampType()),
+            T.StructField("lap", T.LongType()),
+            T.StructField("meta_event", T.StringType()),
+            T.StructField("meta_session", T.StringType()),
+            T.StructField("meta_source", T.StringType()),
+            T.StructField("meta_time", T.TimestampType()),
+            T.StructField("original_vehicle_id", T.StringType()),
+            T.StructField("outing", T.LongType()),
+            T.StructField("telemetry_name", T.StringType()),
+            T.StructField("telemetry_value", T.DoubleType()),
+            T.StructField("timestamp", T.TimestampType()),
+            T.StructField("vehicle_id", T.StringType()),
+            T.StructField("vehicle_number", T.LongType()),
+        ]
+    ),
+    "lap_start": T.StructType(
+        [
+            T.StructField("expire_at", T.TimestampType()),
+            T.StructField("lap", T.LongType()),
+            T.StructField("meta_event", T.StringType()),
+            T.StructField("meta_session", T.StringType()),
+            T.StructField("meta_source", T.StringType()),
+            T.StructField("meta_time", T.TimestampType()),
+            T.StructField("original_vehicle_id", T.StringType()),
+            T.StructField("outing", T.LongType()),
+            T.StructField("timestamp", T.TimestampType()),
+            T.StructField("vehicle_id", T.StringType()),
+            T.StructField("vehicle_number", T.LongType()),
+        ]
+    ),
+    "lap_end": T.StructType(
+        [
+            T.StructField("expire_at", T.TimestampType()),
+            T.StructField("lap", T.LongType()),
+            T.StructField("meta_event", T.StringType()),
+            T.StructField("meta_session", T.StringType()),
+            T.StructField("meta_source", T.StringType()),
+            T.StructField("meta_time", T.TimestampType()),
+            T.StructField("original_vehicle_id", T.StringType()),
+            T.StructField("outing", T.LongType()),
+            T.StructField("timestamp", T.TimestampType()),
+            T.StructField("vehicle_id", T.StringType()),
+            T.StructField("vehicle_number", T.LongType()),
+        ]
+    ),
+    "lap_time": T.StructType(
+        [
+            T.StructField("expire_at", T.TimestampType()),
+            T.StructField("lap", T.LongType()),
+            T.StructField("meta_event", T.StringType()),
+            T.StructField("meta_session", T.StringType()),
+            T.StructField("meta_source", T.StringType()),
+            T.StructField("meta_time", T.TimestampType()),
+            T.StructField("original_vehicle_id", T.StringType()),
+            T.StructField("outing", T.LongType()),
+            T.StructField("timestamp", T.TimestampType()),
+            T.StructField("vehicle_id", T.StringType()),
+            T.StructField("vehicle_number", T.LongType()),
+        ]
+    ),
+    "weather": T.StructType(
+        [
+            T.StructField("time_utc_seconds", T.LongType()),
+            T.StructField("time_utc_str", T.TimestampType()),
+            T.StructField("air_temp", T.DoubleType()),
+            T.StructField("track_temp", T.DoubleType()),
+            T.StructField("humidity", T.DoubleType()),
+            T.StructField("pressure", T.DoubleType()),
+            T.StructField("wind_speed", T.DoubleType()),
+            T.StructField("wind_direction", T.DoubleType()),
+            T.StructField("rain", T.DoubleType()),
+        ]
+    ),
+    "best_laps": T.StructType(
+        [
+            T.StructField("number", T.LongType()),
+            T.StructField("vehicle", T.StringType()),
+            T.StructField("class", T.StringType()),
+            T.StructField("total_driver_laps", T.LongType()),
+            T.StructField("bestlap_1", T.StringType()),
+            T.StructField("bestlap_1_lapnum", T.LongType()),
+            T.StructField("bestlap_2", T.StringType()),
+            T.StructField("bestlap_2_lapnum", T.LongType()),
+            T.StructField("bestlap_3", T.StringType()),
+            T.StructField("bestlap_3_lapnum", T.LongType()),
+            T.StructField("bestlap_4", T.StringType()),
+            T.StructField("bestlap_4_lapnum", T.LongType()),
+            T.StructField("bestlap_5", T.StringType()),
+            T.StructField("bestlap_5_lapnum", T.LongType()),
+            T.StructField("bestlap_6", T.StringType()),
+            T.StructField("bestlap_6_lapnum", T.LongType()),
+            T.StructField("bestlap_7", T.StringType()),
+            T.StructField("bestlap_7_lapnum", T.LongType()),
+            T.StructField("bestlap_8", T.StringType()),
+            T.StructField("bestlap_8_lapnum", T.LongType()),
+            T.StructField("bestlap_9", T.StringType()),
+            T.StructField("bestlap_9_lapnum", T.LongType()),
+            T.StructField("bestlap_10", T.StringType()),
+            T.StructField("bestlap_10_lapnum", T.LongType()),
+            T.StructField("average", T.StringType()),
+        ]
+    ),
+    "results_by_class": T.StructType(
+        [
+            T.StructField("class_type", T.StringType()),
+            T.StructField("pos", T.LongType()),
+            T.StructField("pic", T.LongType()),
+            T.StructField("number", T.LongType()),
+            T.StructField("vehicle", T.StringType()),
+            T.StructField("laps", T.LongType()),
+            T.StructField("elapsed", T.StringType()),
+            T.StructField("gap_first", T.StringType()),
+            T.StructField("gap_previous", T.StringType()),
+            T.StructField("best_lap_num", T.LongType()),
+            T.StructField("best_lap_time", T.StringType()),
+            T.StructField("best_lap_kph", T.DoubleType()),
+        ]
+    ),
+    "official_results_by_class": T.StructType(
+        [
+            T.StructField("class_type", T.StringType()),
+            T.StructField("pos", T.LongType()),
+            T.StructField("pic", T.LongType()),
+            T.StructField("number", T.LongType()),
+            T.StructField("vehicle", T.StringType()),
+            T.StructField("laps", T.LongType()),
+            T.StructField("elapsed", T.StringType()),
+            T.StructField("gap_first", T.StringType()),
+            T.StructField("gap_previous", T.StringType()),
+            T.StructField("best_lap_num", T.LongType()),
+            T.StructField("best_lap_time", T.StringType()),
+            T.StructField("best_lap_kph", T.DoubleType()),
+        ]
     ),
-    "lap_start": _schema(f"{_LAP_EVENT} timestamp:t vehicle_id:s vehicle_number:l"),
-    "lap_end": _schema(f"{_LAP_EVENT} timestamp:t vehicle_id:s vehicle_number:l"),
-    "lap_time": _schema(f"{_LAP_EVENT} timestamp:t vehicle_id:s vehicle_number:l"),
-    "weather": _schema(
-        "time_utc_seconds:l time_utc_str:t air_temp:d track_temp:d humidity:d pressure:d "
-        "wind_speed:d wind_direction:d rain:d"
+    "provisional_results": T.StructType(
+        [
+            T.StructField("position", T.LongType()),
+            T.StructField("number", T.LongType()),
+            T.StructField("status", T.StringType()),
+            T.StructField("laps", T.LongType()),
+            T.StructField("total_time", T.StringType()),
+            T.StructField("gap_first", T.StringType()),
+            T.StructField("gap_previous", T.StringType()),
+            T.StructField("fl_lapnum", T.LongType()),
+            T.StructField("fl_time", T.StringType()),
+            T.StructField("fl_kph", T.DoubleType()),
+            T.StructField("class", T.StringType()),
+            T.StructField("group", T.StringType()),
+            T.StructField("division", T.StringType()),
+            T.StructField("vehicle", T.StringType()),
+            T.StructField("tires", T.StringType()),
+            T.StructField("ecm_participant_id", T.StringType()),
+            T.StructField("ecm_team_id", T.StringType()),
+            T.StructField("ecm_category_id", T.StringType()),
+            T.StructField("ecm_car_id", T.StringType()),
+            T.StructField("ecm_brand_id", T.StringType()),
+            T.StructField("ecm_country_id", T.StringType()),
+            T.StructField("extra_7", T.StringType()),
+            T.StructField("extra_8", T.StringType()),
+            T.StructField("extra_9", T.StringType()),
+            T.StructField("sort_key", T.StringType()),
+            T.StructField("driver_extra_3", T.StringType()),
+            T.StructField("driver_extra_4", T.StringType()),
+            T.StructField("driver_extra_5", T.StringType()),
+        ]
     ),
-    "best_laps": _schema(
-        "number:l vehicle:s class:s total_driver_laps:l "
-        + " ".join(f"bestlap_{i}:s bestlap_{i}_lapnum:l" for i in range(1, 11))
-        + " average:s"
+    "official_results": T.StructType(
+        [
+            T.StructField("position", T.LongType()),
+            T.StructField("number", T.LongType()),
+            T.StructField("status", T.StringType()),
+            T.StructField("laps", T.LongType()),
+            T.StructField("total_time", T.StringType()),
+            T.StructField("gap_first", T.StringType()),
+            T.StructField("gap_previous", T.StringType()),
+            T.StructField("fl_lapnum", T.LongType()),
+            T.StructField("fl_time", T.StringType()),
+            T.StructField("fl_kph", T.DoubleType()),
+            T.StructField("class", T.StringType()),
+            T.StructField("group", T.StringType()),
+            T.StructField("division", T.StringType()),
+            T.StructField("vehicle", T.StringType()),
+            T.StructField("tires", T.StringType()),
+            T.StructField("ecm_participant_id", T.StringType()),
+            T.StructField("ecm_team_id", T.StringType()),
+            T.StructField("ecm_category_id", T.StringType()),
+            T.StructField("ecm_car_id", T.StringType()),
+            T.StructField("ecm_brand_id", T.StringType()),
+            T.StructField("ecm_country_id", T.StringType()),
+            T.StructField("extra_7", T.StringType()),
+            T.StructField("extra_8", T.StringType()),
+            T.StructField("extra_9", T.StringType()),
+            T.StructField("sort_key", T.StringType()),
+            T.StructField("driver_extra_3", T.StringType()),
+            T.StructField("driver_extra_4", T.StringType()),
+            T.StructField("driver_extra_5", T.StringType()),
+        ]
     ),
-    "results_by_class": _schema(_BY_CLASS),
-    "official_results_by_class": _schema(_BY_CLASS),
-    "provisional_results": _schema(_RESULTS),
-    "official_results": _schema(_RESULTS),
-    "analysis_endurance": _schema(
-        "number:l driver_number:l lap_number:l lap_time:s lap_improvement:l "
-        "crossing_finish_line_in_pit:s s1:s s1_improvement:l s2:s s2_improvement:l s3:s "
-        "s3_improvement:l kph:d elapsed:s hour:s s1_large:s s2_large:s s3_large:s top_speed:d "
-        "pit_time:s class:s group:s manufacturer:s flag_at_fl:s s1_seconds:d s2_seconds:d "
-        "s3_seconds:d im1a_time:s im1a_elapsed:s im1_time:s im1_elapsed:s im2a_time:s "
-        "im2a_elapsed:s im2_time:s im2_elapsed:s im3a_time:s im3a_elapsed:s fl_time:s fl_elapsed:s"
+    "analysis_endurance": T.StructType(
+        [
+            T.StructField("number", T.LongType()),
+            T.StructField("driver_number", T.LongType()),
+            T.StructField("lap_number", T.LongType()),
+            T.StructField("lap_time", T.StringType()),
+            T.StructField("lap_improvement", T.LongType()),
+            T.StructField("crossing_finish_line_in_pit", T.StringType()),
+            T.StructField("s1", T.StringType()),
+            T.StructField("s1_improvement", T.LongType()),
+            T.StructField("s2", T.StringType()),
+            T.StructField("s2_improvement", T.LongType()),
+            T.StructField("s3", T.StringType()),
+            T.StructField("s3_improvement", T.LongType()),
+            T.StructField("kph", T.DoubleType()),
+            T.StructField("elapsed", T.StringType()),
+            T.StructField("hour", T.StringType()),
+            T.StructField("s1_large", T.StringType()),
+            T.StructField("s2_large", T.StringType()),
+            T.StructField("s3_large", T.StringType()),
+            T.StructField("top_speed", T.DoubleType()),
+            T.StructField("pit_time", T.StringType()),
+            T.StructField("class", T.StringType()),
+            T.StructField("group", T.StringType()),
+            T.StructField("manufacturer", T.StringType()),
+            T.StructField("flag_at_fl", T.StringType()),
+            T.StructField("s1_seconds", T.DoubleType()),
+            T.StructField("s2_seconds", T.DoubleType()),
+            T.StructField("s3_seconds", T.DoubleType()),
+            T.StructField("im1a_time", T.StringType()),
+            T.StructField("im1a_elapsed", T.StringType()),
+            T.StructField("im1_time", T.StringType()),
+            T.StructField("im1_elapsed", T.StringType()),
+            T.StructField("im2a_time", T.StringType()),
+            T.StructField("im2a_elapsed", T.StringType()),
+            T.StructField("im2_time", T.StringType()),
+            T.StructField("im2_elapsed", T.StringType()),
+            T.StructField("im3a_time", T.StringType()),
+            T.StructField("im3a_elapsed", T.StringType()),
+            T.StructField("fl_time", T.StringType()),
+            T.StructField("fl_elapsed", T.StringType()),
+        ]
     ),
 }
 
