@@ -31,9 +31,10 @@ LABELLERS = {
     "short": (1.0, 0.5),
     "open_ends": (0.9, 0.5),
 }
-#: Before counting, a labeller is taken to call so many good documents bad, and bad ones, with the
-#: weight of so many times the corpus: what shows one flaw only is bad, though most labellers like it.
-BAD_OF_GOOD, BAD_OF_BAD, TRUST = 0.002, 0.125, 1.0
+#: Labellers are made not to accuse wrongly: before counting, one is taken to call so many good
+#: documents bad, and bad ones, with this weight against the corpus, and never more good ones than
+#: MOST_FALSE. So what shows one flaw only is bad, though most labellers like it.
+BAD_OF_GOOD, BAD_OF_BAD, TRUST, MOST_FALSE = 0.002, 0.125, 0.5, 0.005
 SENTENCE_ENDS = (".", "!", "?", "…", "»", "”", '"', ")", ":", ";")
 
 
@@ -78,7 +79,8 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.
     start = np.array([[BAD_OF_BAD, 1 - BAD_OF_BAD], [BAD_OF_GOOD, 1 - BAD_OF_GOOD]])
     rates = np.repeat(start[:, None, :], len(LABELLERS), axis=1)
     total = max(1.0, counts.sum())
-    weight, prior = TRUST * total, np.array([0.2, 0.8])
+    accused = float(counts[(votes == BAD).any(axis=1)].sum() / total)
+    weight, prior = TRUST * total, np.clip([accused, 1 - accused], 0.01, 0.99)
     for _ in range(rounds):
         score = np.log(prior) + np.einsum("plv,clv->pc", shown, np.log(rates))
         posterior = np.exp(score - score.max(axis=1, keepdims=True))
@@ -86,6 +88,8 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.
         mass = posterior * counts[:, None]
         votes_by = np.einsum("pc,plv->clv", mass, shown) + weight * start[:, None, :]
         new = votes_by / votes_by.sum(axis=2, keepdims=True)
+        false = np.minimum(new[1, :, 0], MOST_FALSE)
+        new[1] = np.stack([false, 1 - false], axis=1)
         prior = np.clip(mass.sum(axis=0) / total, 1e-6, 1 - 1e-6)
         moved, rates = np.abs(new - rates).max(), new
         if moved < 1e-9:
