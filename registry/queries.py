@@ -334,6 +334,16 @@ add("meter_metrics", lambda m: consistency.metre_metrics(m.audit_placed), "SELEC
 DELTAS = [f"{s}_delta" for s in O.SHORT.values()]
 add("lap_alignment", lambda m: consistency.alignment(m.audit_placed), "SELECT * FROM aligned",
     ["signature_event_share", *DELTAS])
+add(
+    "lap_alignment_rows",
+    lambda m: consistency.alignment_rows(m.audit_placed),
+    f"""SELECT a.*, row_number() OVER (PARTITION BY a.{O.VK.replace(", ", ", a.")}, a.outing, a.lap
+  ORDER BY a.laptrigger_lapdist_dls, a.event_timestamp, a.event_source) AS event_order,
+ count(*) OVER (PARTITION BY a.{O.VK.replace(", ", ", a.")}, a.outing, a.lap) AS events_per_lap,
+ k.avg_laptrigger_lapdist_dls, k.laptrigger_variability
+ FROM aligned a JOIN metrics k USING (circuit, vehicle_id, meter_position_m)""",
+    ["signature_event_share", "avg_laptrigger_lapdist_dls", "laptrigger_variability", *DELTAS],
+)
 add(
     "lap_consistency",
     lambda m: consistency.lap_consistency(consistency.alignment(m.audit_placed)).drop(

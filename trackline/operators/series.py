@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,12 +78,26 @@ def largest_group(df: DataFrame, by: Iterable[str | Column]) -> int:
     return counts.agg(F.max("_n")).first()[0] or 0
 
 
-def _fullness(keyed: DataFrame, slot: Column) -> tuple[int, int]:
-    """Rows of the fullest slot of any series, and the most slots any series has."""
-    slots = keyed.groupBy(KEY, slot.alias(CHUNK)).agg(F.count(F.lit(1)).alias("_n"))
-    per_series = slots.groupBy(KEY).agg(F.max("_n").alias("_n"), F.count("_n").alias("_slots"))
-    rows, count = per_series.agg(F.max("_n"), F.max("_slots")).first()
-    return rows or 0, count or 0
+def _fullness(keyed: DataFrame, column: str, widths: Sequence[float]) -> tuple[list[tuple[int, int]], int]:
+    """Per width the rows of the fullest slot of any series and the most slots any series has; all rows.
+
+    The rows are counted once per combination of slots; the widths share that count.
+    """
+    slots = {f"_slot{i}": slot_of(keyed, column, width) for i, width in enumerate(widths)}
+    counts = keyed.groupBy(KEY, *[slot.alias(name) for name, slot in slots.items()]).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    levels = []
+    for i, name in enumerate(slots):
+        per_slot = counts.groupBy(KEY, name).agg(F.sum("_n").alias("_n"))
+        per_series = per_slot.groupBy(KEY).agg(
+            F.max("_n").alias("_most"), F.count("_n").alias("_slots"), F.sum("_n").alias("_rows")
+        )
+        levels.append(
+            per_series.agg(F.lit(i).alias("level"), F.max("_most"), F.max("_slots"), F.sum("_rows"))
+        )
+    found = sorted(tuple(row) for row in reduce(lambda a, b: a.union(b), levels).collect())  # one row a width
+    return [(rows or 0, count or 0) for _, rows, count, _ in found], found[0][3] or 0
 
 
 def split(
@@ -90,34 +105,45 @@ def split(
     series: Series,
     slots: Sequence[float] = TIME_SLOTS,
     max_rows: int = MAX_CHUNK_ROWS,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Add the series key and the chunk number, with at most ``max_rows`` rows per chunk.
 
     The widest slot that passes the count is taken. If none passes (many rows in one instant), or
     only one so narrow that a series would have more than ``MAX_CHUNKS`` summaries, the rows are
     range-partitioned on the full sort key, which also divides equal times.
+
+    All widths but the narrowest are judged by one counting job, the narrowest by another if it is
+    needed. ``probe`` is a cheaper table that has at least as many rows in every slot.
     """
     keyed = df.withColumn(KEY, F.struct(*series.keys))
-    for width in slots:
-        slot = slot_of(df, series.order[0], width)
-        rows, chunks = _fullness(keyed, slot)
-        if chunks > MAX_CHUNKS:
-            break
-        if rows <= max_rows:
-            return keyed.withColumn(CHUNK, slot)
+    counted = keyed if probe is None else probe.withColumn(KEY, F.struct(*series.keys))
+    total = None
+    for widths in (tuple(slots[:-1]), tuple(slots[-1:])):
+        if not widths:
+            continue
+        levels, total = _fullness(counted, series.order[0], widths)
+        for width, (rows, chunks) in zip(widths, levels):
+            if chunks > MAX_CHUNKS:
+                return split_by_range(df, series, max_rows, total)
+            if rows <= max_rows:
+                return keyed.withColumn(CHUNK, slot_of(keyed, series.order[0], width))
     if not slots and largest_group(keyed, [KEY]) <= max_rows:
         return keyed.withColumn(CHUNK, F.lit(0).cast("bigint"))
-    return split_by_range(df, series, max_rows)
+    return split_by_range(df, series, max_rows, total)
 
 
-def split_by_range(df: DataFrame, series: Series, max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
-    """Cut into evenly filled ranges of (series, order).
+def split_by_range(
+    df: DataFrame, series: Series, max_rows: int = MAX_CHUNK_ROWS, total: int | None = None
+) -> DataFrame:
+    """Cut into evenly filled ranges of (series, order); ``total`` is the row count where it is known.
 
-    Range bounds come from a sample, so the chunk numbers are only fixed once the rows are
-    stored: the reliable checkpoint makes them survive a lost executor.
+    Range bounds come from a sample, so a range can be fuller than ``max_rows``, and chunk numbers
+    are only fixed once the rows are stored: the reliable checkpoint makes them survive a lost
+    executor.
     """
     shared_dir(df.sparkSession)
-    n = max(1, math.ceil(df.count() / max_rows))
+    n = max(1, math.ceil((df.count() if total is None else total) / max_rows))
     keyed = df.withColumn(KEY, F.struct(*series.keys))
     ranged = keyed.repartitionByRange(n, F.col(KEY), *series.ordering())
     return ranged.withColumn(CHUNK, F.spark_partition_id().cast("bigint")).checkpoint()
@@ -144,7 +170,7 @@ def shift(df: DataFrame, series: Series, columns: dict[str, str], offset: int =
         }
     )
     # The last k rows of every chunk, then the last k rows of all chunks before it: each chunk
-    # holds at least one row, so k chunks are enough and no array grows past k * k entries.
+    # holds at least one row, so k chunks are enough, and of their rows only the last k are kept.
     item = F.struct("_pos", *[F.col(src).alias(f"_v{i}") for i, src in enumerate(columns.values())])
     tails = (
         local.where("_at_end")
@@ -152,7 +178,11 @@ def shift(df: DataFrame, series: Series, columns: dict[str, str], offset: int =
         .agg(F.sort_array(F.collect_list(item)).alias("_tail"))
     )
     earlier = F.flatten(F.collect_list("_tail").over(_chunks(reverse).rowsBetween(-k, -1)))
-    carry = tails.select(CHUNK, KEY, earlier.alias("_carry"))
+    carry = tails.select(CHUNK, KEY, earlier.alias("_all")).select(
+        CHUNK,
+        KEY,
+        F.when(F.size("_all") > k, F.slice("_all", F.size("_all") - k + 1, k)).otherwise(F.col("_all")).alias("_carry"),
+    )
     joined = local.join(carry, [CHUNK, KEY], "left")
     at = F.size("_carry") - F.lit(k) + F.col("_pos") - 1
     from_before = F.when(at >= 0, F.get(F.col("_carry"), at))

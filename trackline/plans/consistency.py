@@ -17,6 +17,7 @@ from trackline.operators.series import (
     unsplit,
 )
 from trackline.operators.stats import modal_value
+from trackline.session import write_shared
 
 LAP_SERIES = Series(
     ("circuit", "race_number", "vehicle_id", "outing", "lap"),
@@ -77,10 +78,22 @@ def metre_metrics(placed: DataFrame) -> DataFrame:
     return placed.groupBy(*PLACE).agg(*aggregates, F.countDistinct("lap").alias("laps_covered"))
 
 
-def matches(placed: DataFrame) -> DataFrame:
-    """Each event with its driver's signature at the metre and whether it follows it."""
-    usual = signature(placed).select(*PLACE, "signature_event_source", "signature_event_share")
-    return _flagged(placed.join(usual, list(PLACE)))
+def lap_matches(placed: DataFrame) -> DataFrame:
+    """Share of the events of each lap that follow their driver's signature.
+
+    Events are counted per lap, metre and source first, so the counts meet the signature and the
+    events themselves do not.
+    """
+    usual = signature(placed).select(*PLACE, "signature_event_source")
+    lap = ("circuit", "vehicle_id", "vehicle_number", "outing", "lap")
+    keys = list(dict.fromkeys((*lap, *PLACE, "event_source")))
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    follows = F.col("event_source") == F.col("signature_event_source")
+    return (
+        counts.join(usual, list(PLACE))
+        .groupBy(*lap)
+        .agg((F.sum(F.when(follows, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("alignment_ratio"))
+    )
 
 
 def _flagged(joined: DataFrame) -> DataFrame:
@@ -88,15 +101,22 @@ def _flagged(joined: DataFrame) -> DataFrame:
     return joined.withColumn("event_match_flag", F.when(follows, 1).otherwise(0))
 
 
-def alignment(placed: DataFrame) -> DataFrame:
+def alignment_rows(
+    placed: DataFrame, slots: Sequence[float] = DISTANCE_SLOTS, max_rows: int = MAX_CHUNK_ROWS
+) -> DataFrame:
+    """The alignment of each event with its order in the lap and the usual distance at the metre."""
+    return alignment(event_order(placed, slots, max_rows), ("avg_laptrigger_lapdist_dls", "laptrigger_variability"))
+
+
+def alignment(placed: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """Each event against its driver's signature and means at the metre.
 
     Signature and means share their key, so they are joined to each other first and the events
-    are joined once.
+    are joined once. ``kept`` names columns of ``metre_metrics`` to carry along.
     """
     usual = signature(placed).select(*PLACE, "signature_event_source", "signature_event_share")
     means = metre_metrics(placed).select(
-        *PLACE, *[F.col(f"avg_{m}").alias(f"_mean_{m}") for m, _, _, _ in MEASURES]
+        *PLACE, *[F.col(f"avg_{m}").alias(f"_mean_{m}") for m, _, _, _ in MEASURES], *kept
     )
     joined = _flagged(placed.join(usual.join(means, list(PLACE)), list(PLACE)))
     return joined.withColumns(
@@ -116,7 +136,6 @@ def lap_consistency(aligned: DataFrame) -> DataFrame:
 def driver_consistency(placed: DataFrame) -> DataFrame:
     """Mean, median and decile alignment over the laps of a driver."""
     driver = ["circuit", "vehicle_id", "vehicle_number"]
-    lap_keys = placed.select(*driver, "outing", "lap").distinct()
     outputs = {
         "median_alignment_ratio": ("alignment_ratio", 0.5),
         "p10_alignment_ratio": ("alignment_ratio", 0.1),
@@ -127,8 +146,9 @@ def driver_consistency(placed: DataFrame) -> DataFrame:
         F.avg("alignment_ratio").alias("avg_alignment_ratio"),
         *[F.avg(f"avg_{d}").alias(f"avg_{d}") for _, _, d, _ in MEASURES],
     ]
-    laps = lap_consistency(alignment(placed))
-    return percentiles_by_group(laps, driver, outputs, extra, largest_group(lap_keys, driver))
+    # Stored, as the count of laps and the percentiles both read it.
+    laps = write_shared(lap_consistency(alignment(placed)), "lap-consistency")
+    return percentiles_by_group(laps, driver, outputs, extra, largest_group(laps, driver))
 
 
 def metre_changes(aligned: DataFrame) -> DataFrame:
@@ -154,12 +174,9 @@ def audit(placed: DataFrame, least_laps: int = 3, rows: int | None = None) -> Da
     The driver average is attached by circuit and vehicle without the vehicle number, so a vehicle
     that ran under two numbers shows once per number.
     """
-    # Drivers need only whether events match, so their rows skip the join with the means.
     driver = ("circuit", "vehicle_id", "vehicle_number")
     drivers = (
-        matches(placed)
-        .groupBy(*driver, "outing", "lap")
-        .agg(F.avg("event_match_flag").alias("alignment_ratio"))
+        lap_matches(placed)
         .groupBy(*driver)
         .agg(
             F.countDistinct("lap").alias("laps_analyzed"),

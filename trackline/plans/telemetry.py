@@ -146,13 +146,15 @@ def acc_pairs(telemetry: DataFrame) -> DataFrame:
 def position_filled(telemetry: DataFrame, slots: Sequence[float] = TIME_SLOTS,
                     max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
     """Paired coordinates with values and context carried forward; still split."""
-    pairs = split(position_pairs(telemetry), PAIR_SERIES, slots, max_rows)
+    channels = telemetry.where(F.col("telemetry_name").isin("VBOX_Long_Minutes", "VBOX_Lat_Min"))
+    pairs = split(position_pairs(telemetry), PAIR_SERIES, slots, max_rows, channels)
     return fill_forward(pairs, PAIR_SERIES, POSITION_FILL)
 
 
 def acc_filled(telemetry: DataFrame, slots: Sequence[float] = TIME_SLOTS,
                max_rows: int = MAX_CHUNK_ROWS) -> DataFrame:
-    pairs = split(acc_pairs(telemetry), PAIR_SERIES, slots, max_rows)
+    channels = telemetry.where(F.col("telemetry_name").isin("accx_can", "accy_can"))
+    pairs = split(acc_pairs(telemetry), PAIR_SERIES, slots, max_rows, channels)
     return fill_forward(pairs, PAIR_SERIES, ACC_FILL)
 
 

@@ -46,20 +46,23 @@ def quantity(weather: DataFrame, name: str) -> DataFrame:
 
 
 def wind_facts(weather: DataFrame) -> DataFrame:
-    """Wind direction and speed of one race second, also where one of the two is missing."""
-    at = ["circuit", "race_number", "time_utc_seconds"]
-
-    def spread(df: DataFrame) -> DataFrame:
-        # Readings without a full key match nothing; a hash keeps them out of one common task.
-        keyless = F.greatest(*[F.col(c).isNull() for c in at])
-        return df.withColumn("_spread", F.when(keyless, F.xxhash64(*df.columns)).otherwise(0))
+    """Wind direction and speed of one race second, also where one of the two is missing.
 
-    direction = spread(quantity(weather, "wind_direction")).withColumn(
+    Pairs come from an inner join, which Spark can split where a second holds very many readings,
+    and readings without a partner from joins with the distinct seconds of the other side.
+    """
+    at = ["circuit", "race_number", "time_utc_seconds"]
+    direction = quantity(weather, "wind_direction").withColumn(
         "_normal", W.normal_degrees(F.col("wind_direction_degrees"))
     )
     direction = direction.withColumnRenamed("time_utc", "_direction_time")
-    speed = spread(quantity(weather, "wind_speed")).withColumnRenamed("time_utc", "_speed_time")
-    both = direction.join(speed, [*at, "_spread"], "full_outer")
+    speed = quantity(weather, "wind_speed").withColumnRenamed("time_utc", "_speed_time")
+    pairs = direction.join(speed, at)
+    lone_direction = direction.join(speed.select(*at).distinct(), at, "left_anti")
+    lone_speed = speed.join(direction.select(*at).distinct(), at, "left_anti")
+    both = pairs.unionByName(lone_direction, allowMissingColumns=True).unionByName(
+        lone_speed, allowMissingColumns=True
+    )
     return both.where(
         F.col("wind_speed_mph").isNotNull() | F.col("wind_direction_degrees").isNotNull()
     ).select(
