@@ -19,13 +19,11 @@ LENGTH = 400
 #: Length of the anchors that lead equal strings to one place.
 ANCHOR = 96
 #: Bytes that one array step works on; the place in them takes so many bits of a key.
-CHUNK_BITS = 22
+CHUNK_BITS = 20
 #: Distinct surroundings of one anchor that one suffix array takes.
-MOST_KINDS = 2000
+MOST_KINDS = 1000
 #: Bytes one suffix array should hold.
-SHARD_BYTES = 4 << 20
-#: Digests that one merge step should hold.
-MERGE_ROWS = 200_000
+SHARD_BYTES = 1 << 20
 
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
@@ -236,74 +234,90 @@ def repeated_starts(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return twice, stops - sizes
 
 
-KIND = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "around", "count", "low", "high", "d1", "d2", "sub")])
+FOUND = "anchor long, around long, count long, low long, high long, bucket long, packed binary"
+#: Numbers of a packed digest: kind (around, count), start, 1 if it is in question, and two hashes.
+PACKED = 6
 
 
 def shard_repeats(table: pa.Table) -> pa.Table:
     """Suffix array of one shard: per kind the intervals of repeated starts, as [low, high).
 
-    Surroundings that occur more than once stand twice in the array. For anchors whose kinds lie
-    in several shards, digests follow with ``sub`` >= 0: of every start not repeated here, and of
-    one start (high = low) of each group that is.
+    Surroundings that occur more than once stand twice in the array. If the anchor lies in several
+    shards, its sorted digests follow, packed into as many buckets as there are shards: of every
+    start not repeated here, and of one start of each string that is.
     """
-    anchor, around, count, copies, sub, parts = (
-        table.column(c).to_numpy() for c in ("anchor", "around", "count", "copies", "sub", "parts")
+    anchor, around, count, copies, parts = (
+        table.column(c).to_numpy() for c in ("anchor", "around", "count", "copies", "parts")
     )
     pieces = table.column("bytes").to_pylist()
-    owners = list(range(len(pieces))) + [i for i in range(len(pieces)) if copies[i] > 1]
-    texts = [pieces[i] for i in owners]
-    twice, firsts = repeated_starts(texts)
-    out: list[list[np.ndarray]] = []
-
-    def emit(i: int, low: np.ndarray, high: np.ndarray, d1: np.ndarray, d2: np.ndarray, of: int) -> None:
-        same = [np.full(len(low), v, dtype=np.int64) for v in (anchor[i], around[i], count[i])]
-        out.append([*same, low, high, d1, d2, np.full(len(low), of, dtype=np.int64)])
-
-    split = bool((parts > 1).any())
-    if split:
-        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        one, two = Hashes(data, BASES[0]), Hashes(data, BASES[1])
-    for i, piece in enumerate(pieces):
-        n = int(count[i])
-        hit = twice[firsts[i] : firsts[i] + n]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        zero = np.zeros(len(edge) // 2, np.int64)
-        emit(i, edge[0::2], edge[1::2], zero, zero, -1)
-        if split and parts[i] > 1:
-            lone = np.flatnonzero(~hit)
-            seen = np.flatnonzero(hit)
-            for part, width in ((lone, 1), (seen, 0)):
-                place = firsts[i] + part
-                emit(i, part, part + width, one.at(place, LENGTH).view(np.int64), two.at(place, LENGTH).view(np.int64), int(sub[i]))
-    columns = [np.concatenate(c) for c in zip(*out)]
-    if split:
-        # One witness of each repeated string of a shard is enough.
-        witness = (columns[7] >= 0) & (columns[3] == columns[4])
-        keep = ~witness
-        index = np.flatnonzero(witness)
-        _, first = np.unique(columns[5][index].astype(U) ^ mix(columns[6][index].astype(U)), return_index=True)
-        keep[index[first]] = True
-        columns = [c[keep] for c in columns]
-    return pa.table([pa.array(c) for c in columns], names=KIND.names)
+    twice, firsts = repeated_starts(pieces + [p for p, n in zip(pieces, copies) if n > 1])
+    whose: list[np.ndarray] = []
+    lows: list[np.ndarray] = []
+    highs: list[np.ndarray] = []
+    for i in range(len(pieces)):
+        hit = twice[firsts[i] : firsts[i] + count[i]].view(np.int8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
+        whose.append(np.full(len(edge) // 2, i))
+        lows.append(edge[0::2])
+        highs.append(edge[1::2])
+    kind = np.concatenate(whose)
+    columns = [anchor[kind], around[kind], count[kind], np.concatenate(lows), np.concatenate(highs)]
+    buckets, packed = np.zeros(0, np.int64), []
+    if parts[0] > 1:
+        buckets, packed = pack_digests(pieces, firsts, twice, around, count, int(parts[0]))
+    n = len(packed)
+    same = np.full(n, anchor[0]), *(np.zeros(n, np.int64) for _ in range(4))
+    columns = [np.concatenate([c, s]) for c, s in zip(columns, same)]
+    bucket = pa.array([None] * len(kind) + list(buckets), type=pa.int64())
+    blobs = pa.array([None] * len(kind) + packed, type=pa.binary())
+    names = ["anchor", "around", "count", "low", "high", "bucket", "packed"]
+    return pa.table([*map(pa.array, columns), bucket, blobs], names=names)
+
+
+def pack_digests(
+    pieces: list[bytes], firsts: np.ndarray, twice: np.ndarray, around: np.ndarray, count: np.ndarray, parts: int
+) -> tuple[np.ndarray, list[bytes]]:
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    firsts = firsts[: len(pieces)]
+    kind = np.repeat(np.arange(len(pieces)), count)
+    start = np.arange(len(kind)) - np.repeat(np.cumsum(count) - count, count)
+    place = firsts[kind] + start
+    one = Hashes(data, BASES[0]).at(place, LENGTH)
+    two = Hashes(data, BASES[1]).at(place, LENGTH)
+    lone = ~twice[place]
+    keep = lone.copy()
+    again = np.flatnonzero(~lone)
+    _, first = np.unique(one[again] ^ mix(two[again]), return_index=True)
+    keep[again[first]] = True
+    bucket = (mix(one) % U(parts)).astype(np.int64)
+    order = np.flatnonzero(keep)
+    order = order[np.lexsort((one[order], bucket[order]))]
+    rows = np.column_stack(
+        [around[kind], count[kind], start, lone.astype(np.int64), one.view(np.int64), two.view(np.int64)]
+    )[order]
+    found, at = np.unique(bucket[order], return_index=True)
+    return found, [np.ascontiguousarray(r, dtype="<i8").tobytes() for r in np.split(rows, at[1:])]
 
 
 def merge_digests(table: pa.Table) -> pa.Table:
     """Starts whose string is in another shard too, found by binary search among sorted digests."""
-    d1, d2 = table.column("d1").to_numpy(), table.column("d2").to_numpy()
-    both = mix(d1.astype(U)) + d2.astype(U)
+    rows = np.concatenate([np.frombuffer(b, dtype="<i8").reshape(-1, PACKED) for b in table.column("packed").to_pylist()])
+    both = mix(rows[:, 4].astype(U)) + rows[:, 5].astype(U)
     ordered = np.sort(both)
     places = np.searchsorted(ordered, both, "right") - np.searchsorted(ordered, both, "left")
-    low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-    return table.filter(pa.array((places > 1) & (high > low))).select(["anchor", "around", "count", "low", "high"])
+    rows = rows[(places > 1) & (rows[:, 3] == 1)]
+    anchor = np.full(len(rows), table.column("anchor")[0].as_py(), dtype=np.int64)
+    columns = (anchor, rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 2] + 1)
+    return pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names=["anchor", "around", "count", "low", "high"])
 
 
 def cut_pieces(kinds: DataFrame, texts: DataFrame) -> DataFrame:
     """The bytes around each kind, taken from one text that has it; a text is read once."""
     wanted = kinds.groupBy("number").agg(
-        F.collect_list(F.struct("anchor", "around", "count", "copies", "start", "shard", "sub", "parts")).alias("kinds")
+        F.collect_list(F.struct("anchor", "around", "count", "copies", "start", "shard", "parts")).alias("kinds")
     )
     joined = wanted.join(texts, "number").select("text", "kinds")
-    names = ["anchor", "around", "count", "copies", "shard", "sub", "parts"]
+    names = ["anchor", "around", "count", "copies", "shard", "parts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,21 +368,17 @@ def repeated_intervals(texts: DataFrame) -> DataFrame:
     size = repeated.agg(F.sum(F.col("count") + LENGTH)).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(8 * tasks, int(size // SHARD_BYTES) + 1)
-    alone = F.col("parts") > 1
-    repeated = repeated.withColumn(
-        "sub", F.when(alone, F.pmod("around", "parts")).otherwise(0)
-    ).withColumn(
-        "shard", F.when(alone, F.xxhash64("anchor", "sub")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    )
+    alone = F.xxhash64("anchor", F.pmod("around", "parts"))
+    pooled = F.pmod(F.xxhash64("anchor"), F.lit(shards))
+    repeated = repeated.withColumn("shard", F.when(F.col("parts") > 1, alone).otherwise(pooled))
     pieces = cut_pieces(repeated, texts)
-    found = write_shared(pieces.groupBy("shard").applyInArrow(shard_repeats, KIND), "shard-repeats")
-    near = found.where("sub < 0").select("anchor", "around", "count", "low", "high")
-    digests = found.where("sub >= 0")
-    buckets = max(tasks, digests.count() // MERGE_ROWS + 1)
+    found = write_shared(pieces.groupBy("shard").applyInArrow(shard_repeats, FOUND), "shard-repeats")
+    names = ["anchor", "around", "count", "low", "high"]
+    near = found.where("packed is null").select(names)
     far = (
-        digests.withColumn("bucket", F.pmod(F.xxhash64("anchor", "d1"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInArrow(merge_digests, "anchor long, around long, count long, low long, high long")
+        found.where("packed is not null")
+        .groupBy("anchor", "bucket")
+        .applyInArrow(merge_digests, ", ".join(f"{n} long" for n in names))
     )
     intervals = write_shared(near.union(far), "intervals")
     return runs.join(intervals, ["anchor", "around", "count"]).select(
