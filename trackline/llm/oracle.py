@@ -112,4 +112,56 @@ SELECT doc_id, n_lines, n_removed, CASE WHEN n_removed = 0 THEN text ELSE coales
 FROM docs JOIN done USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": MIXING, "op7_quality_rules": QUALITY, "op8_line_dedup": LINES}
+COMPONENTS = """
+, reach AS (
+  SELECT a AS node, a AS other FROM link
+  UNION
+  SELECT reach.node, link.b FROM reach JOIN link ON reach.other = link.a
+), component AS (
+  SELECT node, min(other) AS root FROM reach GROUP BY node
+)
+"""
+
+VECTORS = rf"""
+WITH RECURSIVE fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y
+  ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.95
+)
+{COMPONENTS}
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least(root, vec_id), vec_id) AS component_id,
+       coalesce(least(root, vec_id), vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN component ON node = vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = vec_id
+"""
+
+NEAR = rf"""
+WITH RECURSIVE texts AS (
+  SELECT text, min(doc_id) AS t FROM documents WHERE regexp_matches(text, '{WORD}') GROUP BY text
+), split AS (
+  SELECT t, regexp_extract_all(text, '{WORD}') AS w FROM texts
+), shingle AS (
+  SELECT t, list_slice(w, i, i + 4) AS s, count(*) AS n
+  FROM (SELECT t, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split) GROUP BY ALL
+), size AS (
+  SELECT t, sum(n) AS n FROM shingle GROUP BY t
+), shared AS (
+  SELECT x.t AS a, y.t AS b, sum(least(x.n, y.n)) AS n FROM shingle x JOIN shingle y ON x.s = y.s AND x.t <> y.t GROUP BY ALL
+), link AS (
+  SELECT a, b FROM shared JOIN size p ON p.t = a JOIN size q ON q.t = b WHERE shared.n >= 0.8 * (p.n + q.n - shared.n)
+)
+{COMPONENTS}
+SELECT doc_id, coalesce(least(root, t), t, doc_id) AS class_id, doc_id = coalesce(least(root, t), t, doc_id) AS kept
+FROM documents LEFT JOIN texts USING (text) LEFT JOIN component ON node = t
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": MIXING,
+    "op6_vector_dedup": VECTORS,
+    "op7_quality_rules": QUALITY,
+    "op8_line_dedup": LINES,
+    "op10_minhash": NEAR,
+}
