@@ -40,6 +40,9 @@ MARKERS = frozenset(
     "recommendations comment comments commentlist respond reply replies responses disqus discussion form search login "
     "pagination pager toolbar skip topbar header".split()
 )
+#: Beginnings of such parts, whatever follows.
+STARTS = ("comment", "advert", "sidebar", "breadcrumb", "newsletter", "cookie", "navbar", "talkback", "adbox", "adslot", "adunit")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Roles of the same.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Before these words a marker says something about the page, not about the element.
@@ -87,7 +90,8 @@ def is_outside(tag: str, given: dict[str, str], in_article: bool) -> bool:
     for name in (*given.get("class", "").split(), given.get("id", "")):
         before = ""
         for part in parts(name):
-            if part in MARKERS and before not in QUALIFIERS and not (part == "header" and in_article):
+            marked = part in MARKERS or part.startswith(STARTS)
+            if marked and before not in QUALIFIERS and not (part == "header" and in_article):
                 return True
             before = part
     return False
@@ -102,8 +106,9 @@ def label(tag: str, given: dict[str, str]) -> str:
 def parse(source: str) -> Page:
     """Blocks outside menus, adverts and so on. Never fails: broken markup is read as browsers would."""
     page = Page()
-    # Open elements: tag, its container, whether it is outside, whether it lies in an article.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # Open elements: tag, its container, whether it is outside (2: but for headings), whether it
+    # lies in an article.
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
     words: list[str] = []
     linked, links = 0, 0
     element = ""
@@ -178,7 +183,12 @@ def parse(source: str) -> Page:
             close_block()
             given = attributes(token[3]) if token[3] else {}
             _, container, outside, in_article = stack[-1]
-            outside = outside or is_outside(tag, given, in_article)
+            if outside != 1 and is_outside(tag, given, in_article):
+                outside = 1
+            elif outside == 2 and tag in HEADINGS:
+                outside = 0
+            elif outside == 0 and tag == "header":  # of an article: its title, not its lines
+                outside = 2
             if tag in CONTAINERS and not outside:
                 page.parents.append(container)
                 page.labels.append(label(tag, given))
