@@ -107,3 +107,17 @@ def test_unpivot_drops_missing(spark):
     df = spark.createDataFrame([(1, 2.0, None)], "lap int, a double, b double")
     got = stats.unpivot(df, {"a": "A", "b": "B"}, "metric", "value", ["lap"]).collect()
     assert [tuple(r) for r in got] == [(1, "A", 2.0)]
+
+
+def test_percentile_paths_give_the_same_doubles(spark):
+    import random
+
+    from trackline.operators.quantiles import percentiles_by_group
+
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), rng.choice([None, rng.uniform(-1, 1), round(rng.uniform(0, 3), 1)])) for _ in range(700)]
+    df = spark.createDataFrame(rows + [("c", 0.1), ("c", 0.7)], "k string, v double")
+    outputs = {f"p{int(p * 100)}": ("v", p) for p in (0.1, 0.25, 0.5, 0.75, 0.9, 0.333)}
+    built_in = percentiles_by_group(df, ["k"], outputs, group_rows=1)
+    by_rank = percentiles_by_group(df, ["k"], outputs, group_rows=10**9, max_rows=100)
+    assert sorted(map(tuple, built_in.collect())) == sorted(map(tuple, by_rank.select(built_in.columns).collect()))

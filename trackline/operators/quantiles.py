@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackline.operators.series import Series, largest_group, running_sum, split, unsplit
+from trackline.session import write_shared
 
 MAX_GROUP_ROWS = 500_000
 
@@ -67,6 +68,7 @@ def _percentiles_by_rank(
         .groupBy(*keys, "_column", "_value")
         .agg(F.count(F.lit(1)).alias("_count"))
     )
+    counted = write_shared(counted, "value-counts")  # read by the cut and by the ranks
     series = Series((*keys, "_column"), ("_value",))
     ranked = split(counted, series, (), max_rows)
     joined = unsplit(
@@ -84,6 +86,8 @@ def _percentiles_by_rank(
             return F.max(F.when(hit, F.col("_value")))
 
         lower, upper = at(low), at(F.ceil(position))
-        share = F.max(F.when(F.col("_column") == column, position - low))
-        picks.append((lower + (upper - lower) * share).alias(out))
+        mine = F.col("_column") == column
+        above, below = F.max(F.when(mine, F.ceil(position) - position)), F.max(F.when(mine, position - low))
+        # Term by term as the built-in aggregate computes it, so both paths give the same double.
+        picks.append(F.when(lower == upper, lower).otherwise(above * lower + below * upper).alias(out))
     return joined.groupBy(*keys).agg(*picks)
