@@ -93,10 +93,9 @@ def water_fill(sizes, share=1.5, most=2.0):
 def test_mix_meets_targets(documents, nothing):
     rows = mixing.mix(documents).collect()
     assert len(rows) == documents.count()
-    sizes, largest = defaultdict(int), defaultdict(int)
+    sizes = defaultdict(int)
     for d in documents.collect():
         sizes[d.source] += len(words(d.text))
-        largest[d.source] = max(largest[d.source], len(words(d.text)))
     target = water_fill(sizes)
     by_target = defaultdict(int)
     for r in rows:
@@ -105,7 +104,7 @@ def test_mix_meets_targets(documents, nothing):
     assert {round(t, 6) for t in target.values()} == set(by_target)
     for s, t in target.items():
         same = sum(1 for x in target.values() if round(x, 6) == round(t, 6))
-        assert abs(by_target[round(t, 6)] - t * same) <= largest[s] * same
+        assert abs(by_target[round(t, 6)] - t * same) <= same
     again = mixing.mix(documents.repartition(2)).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert mixing.mix(nothing).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackline.llm.common import cut, word_count
+from trackline.llm.common import SPACE, cut, word_count
 
 #: Ranges of the sampling rank in which words are counted before rows are ordered.
 SLOTS = 4096
@@ -68,7 +68,7 @@ def mix(
     allocated as certain copies; the fraction p is the inclusion probability of one more copy, and
     differs between sources. Pareto order sampling ranks documents by u / (1 - u) over p / (1 - p),
     u being a uniform number from the key, and takes the lowest ranks up to the words still
-    wanted: a sample of fixed size, met to half the document at the edge.
+    wanted. The sample has a fixed size, as the document at the edge is taken in part.
 
     The edge is found without ordering a source: words are summed per source and range of the rank
     (``SLOTS`` ranges), the range that crosses the target is found by a running sum over ranges,
@@ -133,11 +133,11 @@ def mix(
     placed = ranked.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         side(edges), F.col("of").eqNullSafe(F.col("edge_of")), "left"
     )
-    middle = F.col("words_before") + F.col("inside") + F.col("size") / 2.0
+    left = F.floor(F.col("wanted") - (F.col("words_before") + F.col("inside")) + 0.5)
     more = (
         F.when(F.col("p") <= 0, 0)
-        .when(F.col("slot") < F.col("edge"), 1)
-        .when((F.col("slot") == F.col("edge")) & (middle <= F.col("wanted")), 1)
+        .when(F.col("slot") < F.col("edge"), F.col("size"))
+        .when(F.col("slot") == F.col("edge"), F.least(F.greatest(left, F.lit(0)), "size"))
         .otherwise(0)
     )
     return placed.select(
@@ -145,7 +145,7 @@ def mix(
         "size",
         "source_size",
         "target",
-        ((F.col("copies") + more) * F.col("size")).cast("long").alias("taken"),
+        (F.col("copies") * F.col("size") + more).cast("long").alias("taken"),
     )
 
 
@@ -160,7 +160,7 @@ def take(
 ) -> DataFrame:
     """Every document as often as the mix takes it, with all its columns.
 
-    Documents are found again by their number in the table, which has to be read in the same
+    A document taken in part has a last copy with its first words only. Documents are found again by their number in the table, which has to be read in the same
     order twice, as stored tables are.
     """
     numbered = docs.select(
@@ -169,6 +169,12 @@ def take(
     )
     taken = mix(numbered, "number", "text", "source", weights, share, most, name="name")
     copies = taken.where("taken > 0").select(
-        "number", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("copy")
+        "number", "taken", "size", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy")
     )
-    return numbered.join(copies, "number").select("row.*")
+    found = numbered.join(copies, "number")
+    # Pieces of one word and the white space after it.
+    pieces = F.split(F.btrim("text", F.lit(SPACE)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    rest = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    whole = F.col("copy") * F.col("size") <= F.col("taken")
+    words = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.greatest(rest, F.lit(1))), ""))
+    return found.select(*(words.alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

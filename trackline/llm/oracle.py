@@ -40,8 +40,8 @@ WITH sized AS (
   FROM ranked
 )
 SELECT doc_id, size, source_size, target,
-       ((copies + CASE WHEN p > 0 AND before + size / 2.0::DOUBLE <= target - copies * source_size
-                       THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+       (copies * size + CASE WHEN p > 0 THEN
+          least(greatest(floor(target - copies * source_size - before + 0.5::DOUBLE), 0), size) ELSE 0 END)::BIGINT AS taken
 FROM summed
 """
 
