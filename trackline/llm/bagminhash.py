@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackline.llm.common import WORD, components, cut
+from trackline.llm.vector_dedup import spanning
 from trackline.session import write_shared
 
 SHINGLE = 5
@@ -19,6 +20,8 @@ REGISTERS = 128
 BANDS, ROWS = 25, 5
 #: Of two texts with similarity 0.8, 12.8 of 128 sketch bits differ on average (deviation 3.4).
 MAX_BITS = 32
+#: Texts of a block, shingles of one product, and rows of small buckets that a task takes together.
+BLOCK, COLUMNS, LOT = 512, 4096, 2000
 #: Texts worked on at a time, and their bytes.
 TEXTS, TEXT_BYTES = 512, 4 << 20
 
@@ -216,37 +219,45 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def classes_of(links: DataFrame) -> DataFrame:
-    return components(links, "a", "b").toDF("text_key", "class_key")
-
-
 def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that no links connect so far."""
+    """Pairs of texts in different classes, with the classes as ``class_a`` and ``class_b``."""
     of_a = classes.toDF("a", "class_a")
     of_b = classes.toDF("b", "class_b")
     return (
         pairs.join(of_a, "a", "left")
         .join(of_b, "b", "left")
-        .where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b"))
-        .select(*pairs.columns)
+        .withColumns({"class_a": F.coalesce("class_a", "a"), "class_b": F.coalesce("class_b", "b")})
+        .where("class_a <> class_b")
+    )
+
+
+def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after more links between texts; only the classes that the links touch are worked on."""
+    touched = write_shared(apart(links, classes).select("class_a", "class_b"), "touched")
+    if not touched.limit(1).count():
+        return classes
+    merged = components(touched, "class_a", "class_b").toDF("class_key", "merged")
+    known = classes.join(merged, "class_key", "left").select("text_key", F.coalesce("merged", "class_key").alias("class_key"))
+    fresh = merged.join(classes, merged["class_key"] == classes["text_key"], "left_anti").select(
+        F.col("class_key").alias("text_key"), F.col("merged").alias("class_key")
     )
+    return write_shared(known.union(fresh), "classes")
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
     """``text_key`` and ``class_key`` of all texts that are linked to a different text.
 
     ``docs`` has ``text_key`` and ``text``. Buckets (equal bands) are compared with one text each
-    instead of pair by pair: first every text with the smallest text it shares a bucket with, then
-    whatever classes share a bucket and are still apart: with the text of most links in the bucket,
-    and last with all texts of other classes there whose sketches do not rule a link out. Links
-    inside a class need no check, as they cannot change it. Texts of a pair are read, never texts
-    of a bucket at once.
+    instead of pair by pair: first every text with the smallest text it shares a bucket with; then,
+    in buckets that still hold several classes, twice with two texts of others; and last with all
+    texts of other classes there, block by block. Links inside a class need
+    no check, as they cannot change it. Texts of a pair are read, never texts of a bucket at once.
     """
     sketches = write_shared(sketch_texts(docs.select("text_key", "text")), "sketches")
     buckets = write_shared(
         sketches.select(F.explode("bands").alias("bucket"), "text_key").distinct(), "buckets"
     )
-    bits = cut(sketches.groupBy("text_key").agg(F.first("low").alias("low"), F.first("high").alias("high")))
+    bits = sketches.groupBy("text_key").agg(F.first("low").alias("low"), F.first("high").alias("high"))
     shared = cut(
         buckets.groupBy("bucket")
         .agg(F.min("text_key").alias("rep"), F.max("text_key").alias("other"))
@@ -254,50 +265,151 @@ def text_classes(docs: DataFrame) -> DataFrame:
         .select("bucket", "rep")
     )
     members = write_shared(buckets.join(shared, "bucket"), "bucket-members")
-    stars = cut(members.where("text_key <> rep").select(F.col("rep").alias("a"), F.col("text_key").alias("b")).distinct())
-    stars = cut(likely(stars, bits))
     involved = members.select("text_key").distinct()
     texts = write_shared(
         docs.select("text_key", "text").join(involved, "text_key").groupBy("text_key").agg(F.max("text").alias("text")),
         "bucket-texts",
     )
-    first = stars.groupBy("b").agg(F.min("a").alias("a"))
-    links = cut(verified(first, texts))
-    classes = classes_of(links)
-    links = cut(links.union(verified(apart(stars, classes), texts)))
-    classes = classes_of(links)
-
-    # The text with most links of each bucket that still holds more than one class.
-    degree = links.select("a").union(links.select(F.col("b"))).groupBy(F.col("a").alias("text_key")).count()
-    placed = members.select("bucket", "text_key").join(classes, "text_key", "left").join(degree, "text_key", "left")
-    placed = cut(
-        placed.select("bucket", "text_key", F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("count", F.lit(0)).alias("count"))
+    # Each text with the smallest text of any of its buckets.
+    first = members.where("text_key <> rep").groupBy(F.col("text_key").alias("b")).agg(F.min("rep").alias("a"))
+    links = write_shared(verified(likely(first, bits), texts), "first-links")
+    # A label that is right where it is equal, which spares checks; two steps up.
+    up = links.select(F.col("b").alias("text_key"), F.col("a").alias("step"))
+    top = links.select(F.col("b").alias("step"), F.col("a").alias("top"))
+    known = up.join(top, "step", "left").select("text_key", F.coalesce("top", "step").alias("class_key"))
+
+    # Buckets that hold several labels: each text with two texts of other labels there.
+    rest, more = meet_hubs(members.select("bucket", "text_key"), known, links, bits, texts, 2)
+    links = write_shared(links.union(more), "links")
+    classes = components(links, "a", "b").toDF("text_key", "class_key")
+    rest, more = meet_hubs(rest, classes, links, bits, texts, 3)
+    classes = joined(classes, more)
+
+    # What is left: texts of different classes in one bucket.
+    crossing = cross_links(rest, classes, texts)
+    return joined(classes, crossing)
+
+
+def cross_links(rest: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between all texts of different classes in one bucket, as a spanning forest.
+
+    Texts of a bucket are dealt into blocks, and a task compares two blocks by a product of their
+    shingle matrices, so the rows it takes and gives are bounded, and no pairs are emitted.
+    """
+    placed = rest.join(classes, "text_key", "left").withColumn("class_key", F.coalesce("class_key", "text_key"))
+    several = (
+        placed.groupBy("bucket")
+        .agg(F.min("class_key").alias("least"), F.max("class_key").alias("most"), F.count("*").alias("n"))
+        .where("least < most")
+        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    placed = write_shared(placed.join(several, "bucket"), "crossing-buckets")
+    lots = placed.count() // LOT + 1
+    block = F.pmod(F.xxhash64("text_key", F.lit(4)), "blocks").cast("int")
+    columns = ["bucket", "text_key", "class_key"]
+    placed = placed.withColumn("block", block)
+    later, earlier = F.sequence(F.col("block"), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("block") - 1)
+    dealt = placed.select(*columns, "blocks", F.col("block").alias("i"), F.explode(later).alias("j"), F.lit(0).alias("side")).union(
+        placed.where("block > 0").select(
+            *columns, "blocks", F.explode(earlier).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")
+        )
+    )
+    lot = F.when(F.col("blocks") > 1, F.xxhash64("bucket", "i", "j")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(lots)))
+    tasks = dealt.withColumn("lot", lot).join(texts, "text_key")
+
+    def compare(table: pa.Table) -> pa.Table:
+        keys, kinds = table.column("text_key").to_numpy(), table.column("class_key").to_numpy()
+        place = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "i", "j"))))
+        side = table.column("side").to_numpy()
+        raw = table.column("text").to_pylist()
+        first = {k: n for n, k in enumerate(keys.tolist())}
+        sets = dict(zip(first, shingle_hashes([raw[n].encode("utf-8", "surrogatepass") for n in first.values()])))
+        members: dict[tuple, list[int]] = {}
+        for n, p in enumerate(place):
+            members.setdefault(p, []).append(n)
+        a, b = [], []
+        for (_, i, j), rows in members.items():
+            at = np.array(rows)
+            shared, size = shared_shingles([sets[k] for k in keys[at].tolist()])
+            close = shared >= SIMILARITY * (size[:, None] + size[None, :] - shared)
+            close &= kinds[at][:, None] != kinds[at][None, :]
+            if i != j:
+                close &= side[at][:, None] != side[at][None, :]
+            x, y = np.nonzero(np.triu(close))
+            if len(x):
+                root = spanning(x, y, len(at))
+                a += keys[at[root != np.arange(len(at))]].tolist()
+                b += keys[at[root[root != np.arange(len(at))]]].tolist()
+        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
+
+    return tasks.groupBy("lot").applyInArrow(compare, "a long, b long")
+
+
+def shared_shingles(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of all pairwise multiset overlaps, and of the sorted multisets.
+
+    The n-th repeat of a shingle is a column of its own, so overlaps are products of 0 and 1.
+    """
+    sizes = np.array([len(s) for s in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    place = np.arange(len(values))
+    new = np.concatenate([[True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])])[: len(values)]
+    repeat = place - np.maximum.accumulate(np.where(new, place, 0))
+    _, column, count = np.unique(mix(values) + repeat.astype(U), return_inverse=True, return_counts=True)
+    dense = np.cumsum(count > 1) - 1
+    often = count[column] > 1
+    column, owner = dense[column[often]], owner[often]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(dense[-1]) + 1 if len(dense) else 0, COLUMNS):
+        first, last = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[owner[first:last], column[first:last] - low] = 1
+        shared += part @ part.T
+    return shared.astype(np.int64), sizes
+
+
+def meet_hubs(
+    rest: DataFrame, classes: DataFrame, links: DataFrame, bits: DataFrame, texts: DataFrame, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """The buckets of ``rest`` with texts of several classes, and links that two checks a text find.
+
+    Every bucket offers the text with most links in it and one by chance. Of what its buckets
+    offer from other classes, a text is checked against the one with most links and one by chance.
+    """
+    degree = links.groupBy(F.col("a").alias("text_key")).count()
+    placed = rest.join(classes, "text_key", "left").join(degree, "text_key", "left")
+    placed = write_shared(
+        placed.select(
+            "bucket",
+            "text_key",
+            F.coalesce("class_key", "text_key").alias("class_key"),
+            F.coalesce("count", F.lit(0)).alias("count"),
+        ),
+        "placed",
     )
+    chance = F.xxhash64("text_key", F.lit(seed))
     mixed = cut(
         placed.groupBy("bucket")
-        .agg(F.min("class_key").alias("least"), F.max("class_key").alias("most"), F.max(F.struct("count", "text_key")).alias("hub"))
+        .agg(
+            F.min("class_key").alias("least"),
+            F.max("class_key").alias("most"),
+            F.max(F.struct(F.col("count").alias("by"), "text_key", "class_key")).alias("hub"),
+            F.max(F.struct(chance.alias("by"), "text_key", "class_key")).alias("any"),
+        )
         .where("least < most")
-        .select("bucket", F.col("hub.text_key").alias("hub"))
+        .select("bucket", "hub", "any")
     )
-    rest = write_shared(placed.join(mixed, "bucket"), "mixed-buckets")
-    hubs = rest.where("text_key <> hub").select(F.col("hub").alias("a"), F.col("text_key").alias("b")).distinct()
-    links = cut(links.union(verified(apart(cut(likely(hubs, bits)), classes), texts)))
-    classes = classes_of(links)
-
-    # What is left: texts of different classes in one bucket.
-    placed = rest.select("bucket", "text_key").join(classes, "text_key", "left").join(bits, "text_key")
-    placed = cut(placed.withColumn("class_key", F.coalesce("class_key", "text_key")))
-    left = placed.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("text_key", "class_key", "low", "high")))
-    right = placed.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("text_key", "class_key", "low", "high")))
-    crossing = (
-        left.join(right, "bucket")
-        .where("class_key_a < class_key_b")
-        .where(differing("low_a", "low_b") + differing("high_a", "high_b") <= MAX_BITS)
-        .select(F.col("text_key_a").alias("a"), F.col("text_key_b").alias("b"))
-        .distinct()
+    rest = write_shared(placed.select("bucket", "text_key", "class_key").join(mixed, "bucket"), "mixed-buckets")
+    chosen = rest.groupBy("text_key").agg(
+        *(F.max(F.when(F.col("class_key") != F.col(f"{c}.class_key"), F.col(c))).alias(c) for c in ("hub", "any"))
+    )
+    pairs = chosen.select(F.col("hub.text_key").alias("a"), F.col("text_key").alias("b")).union(
+        chosen.select("any.text_key", "text_key")
     )
-    links = links.union(verified(cut(crossing), texts))
-    return classes_of(links)
+    found = verified(likely(pairs.where("a is not null").distinct(), bits), texts)
+    return rest.select("bucket", "text_key"), found
 
 
 def differing(a: str, b: str) -> F.Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.session import shared_dir
+from trackline.session import shared_dir, write_shared
 
 #: A word, in the regular expressions of Java, Python and DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,35 +40,31 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
     """Connected components of undirected links between long keys.
 
     Returns ``node``, ``root`` for every key that occurs in a link; root is the smallest key of
-    the component. Each round hooks every node to the smallest label around it and then shortcuts
-    labels of labels, so long chains shrink by powers of two. Rounds shuffle narrow rows; a node
-    with very many links is reduced on the map side, and its joins can be split.
+    the component. In each round a node takes the smallest of its neighbours' labels and of the
+    label of its label, and passes it on to the node that it is labelled with, so long chains
+    shrink by powers of two. A round is one job over narrow rows, written to the shared folder; a
+    node with very many links is reduced on the map side, and its joins can be split.
     """
     a, b = F.col(src), F.col(dst)
-    pairs = links.where(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
-    edges = cut(pairs.select("u", "v").union(pairs.select(F.col("v"), F.col("u"))).toDF("u", "v"))
-    # The first labels: the smallest neighbour, or the node itself.
-    labels = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")))
+    pairs = links.where(a != b).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    edges = write_shared(pairs.union(pairs.select("v", "u")).distinct(), "edges")
+    labels = write_shared(
+        edges.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")), "labels"
+    )
     while True:
         near = (
             edges.join(labels.withColumnRenamed("node", "v"), "v")
             .groupBy(F.col("u").alias("node"))
             .agg(F.min("root").alias("near"))
         )
-        hooked = labels.join(near, "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("label")
+        up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        found = labels.join(near, "node").join(up, "root").select("node", "root", F.least("near", "up").alias("label"))
+        told = found.groupBy(F.col("root").alias("node")).agg(F.min("label").alias("told"))
+        step = found.join(told, "node", "left").select(
+            "node", F.least("label", F.coalesce("told", "label")).alias("label"), "root"
         )
-        # A node passes what it found on to the node that it was labelled with.
-        told = hooked.groupBy(F.col("old").alias("node")).agg(F.min("label").alias("told"))
-        hooked = hooked.join(told, "node", "left").select(
-            "node", "old", F.least("label", F.coalesce("told", "label")).alias("label")
-        )
-        hooked = cut(hooked)
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        shortcut = hooked.join(up, "label", "left").select(
-            "node", "old", F.least("label", F.coalesce("up", "label")).alias("root")
-        )
-        step = cut(shortcut)
-        labels = step.select("node", "root")
-        if not step.where("root <> old").limit(1).count():
+        changed = Observation()
+        step = step.observe(changed, F.count_if(F.col("label") != F.col("root")).alias("n"))
+        labels = write_shared(step.select("node", F.col("label").alias("root")), "labels")
+        if not changed.get["n"]:
             return labels
