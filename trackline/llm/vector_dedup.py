@@ -31,6 +31,16 @@ def unit(vectors: list | np.ndarray, size: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def units_of(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """``unit`` of a column of vectors, without a detour over Python lists where all have one length."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(whole) and whole.value_lengths().to_numpy().min() == size == whole.value_lengths().to_numpy().max():
+        rows = whole.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    return unit(whole.to_pylist(), size)
+
+
 def centres_of(rows: np.ndarray, cells: int) -> np.ndarray:
     """Spherical k-means; a cell without vectors keeps its centre."""
     centres = rows[np.linspace(0, len(rows) - 1, cells).astype(int)].copy()
@@ -113,7 +123,7 @@ def near_vectors(
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = unit(batch.column(1).to_pylist(), size)
+            rows = units_of(batch.column(1), size)
             near = rows @ shared.value.T
             cell = np.argmax(near, axis=1)
             arrays = [pa.array(cell.astype(np.int64)), pa.array(near[np.arange(len(cell)), cell])]
@@ -137,7 +147,7 @@ def near_vectors(
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach, between = limits.value
         for batch in batches:
-            rows = unit(batch.column(1).to_pylist(), size)
+            rows = units_of(batch.column(1), size)
             cell = batch.column(2).to_numpy()
             near = rows @ shared.value.T
             own = near[np.arange(len(cell)), cell]
@@ -186,7 +196,7 @@ def near_vectors(
 
     def compare(table: pa.Table) -> pa.Table:
         side, node, copies = (table.column(c).to_numpy() for c in ("side", "node", "copies"))
-        rows = unit(table.column("vector").to_pylist(), size)
+        rows = units_of(table.column("vector"), size)
         first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         a, b = link_block(rows[first], None if alone else rows[second], cosine)
