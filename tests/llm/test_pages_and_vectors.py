@@ -44,6 +44,23 @@ def test_extract(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_extract_keeps_what_stands_beside_the_largest_part(spark):
+    long = "<p>" + "The long part goes on and on. " * 20 + "</p>"
+    mains = {
+        "lead": f"<article><h1>Title {{0}}</h1><p>lead {{0}}</p><div class=entry>{long}</div></article>",
+        "two": f"<article><section>{long * 4}</section><section><h2>Title {{0}}</h2><p>lead {{0}}</p></section></article>",
+        "list": f"<div class=post><h1><a href=x>Title {{0}}</a></h1><p>lead {{0}}</p><ul><li>{'Long item of words, on and on. ' * 20}</li></ul></div>",
+        "table": f"<div class=post><h1>Title {{0}}</h1><p>lead {{0}}</p><table><tr><td>{'Long cell of words, on and on. ' * 20}</td></tr></table></div>",
+    }
+    # All pages of a host are built alike; one host has a single page.
+    rows = [(f"{k}{i}", f"http://{k}.example/{i}", page(m.format(i))) for k, m in mains.items() for i in range(1 if k == "list" else 3)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert f"Title {r.page_id[-1]}" in r.text and f"lead {r.page_id[-1]}" in r.text and "on and on." in r.text, r
+        assert "Other long words" not in r.text and "cookies" not in r.text
+
+
 @pytest.mark.parametrize("source", ["", "<", "<p", "a<b", "<div", "</p></div>", "<script>x", "<!--", "<a href='", "&#x110000; &#0;", "<p/>x<br/>y"])
 def test_parse_never_fails(source):
     found = html_text.parse(source)

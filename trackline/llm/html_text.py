@@ -209,39 +209,36 @@ def given_outside(token: re.Match, in_article: bool) -> bool:
     return bool(token[3]) and not token[1] and "=" in token[3] and is_outside("", attributes(token[3]), in_article)
 
 
-def is_prose(block: tuple[int, str, str, int]) -> bool:
-    """Blocks that speak for their container: sentences rather than links and captions."""
+def is_linked(block: tuple[int, str, str, int]) -> bool:
+    """Blocks of links, as menus have them; paragraphs and headings are none, even if all of their text is a link."""
     _, element, text, linked = block
-    return linked * 2 <= len(text) and (element in ("p", "pre", "blockquote") or text.count(" ") >= 5)
+    return linked * 2 > len(text) and element not in ("p", "pre", *HEADINGS)
 
 
 def candidates(page: Page) -> list[tuple[str, float]]:
     """Paths of containers that may hold the article, with scores from 0 to 1.
 
-    From the root, the way goes down while one child holds most of the prose. The container at
-    its end scores the share of the page's prose that it holds. The ones above are proposed with
-    a score of 0: they win where other pages of the host end there. Without prose, all blocks
-    that are not links count.
+    From the root, the way goes down while one child holds all blocks. Blocks of links count only
+    inside an article or main element. The container at the end of the way scores 1; the ones above
+    are proposed with a score of 0 and win where other pages of the host end there. All of them
+    hold all text, so no choice loses any.
     """
-    prose = [0] * len(page.parents)
-    chosen = [b for b in page.blocks if is_prose(b)] or [b for b in page.blocks if b[3] * 2 <= len(b[2])]
-    for container, _, text, _ in chosen:
-        prose[container] += len(text)
-    for at in range(len(page.parents) - 1, 0, -1):
-        prose[page.parents[at]] += prose[at]
-    if not prose[0]:
+    if all(b[3] * 2 > len(b[2]) for b in page.blocks):
         return []
-    children: dict[int, list[int]] = {}
+    within = [False] * len(page.parents)
     for at in range(1, len(page.parents)):
-        children.setdefault(page.parents[at], []).append(at)
+        within[at] = within[page.parents[at]] or page.labels[at].split(".")[0] in ("article", "main")
+    held = [0] * len(page.parents)
+    for block in page.blocks:
+        held[block[0]] += within[block[0]] or not is_linked(block)
+    for at in range(len(page.parents) - 1, 0, -1):
+        held[page.parents[at]] += held[at]
+    # A child that holds all has no sibling that holds anything, so the way down is in page order.
     way = [0]
-    while below := children.get(way[-1]):
-        best = max(below, key=lambda c: (prose[c], -c))
-        if prose[best] < 0.75 * prose[way[-1]]:
-            break
-        way.append(best)
-    share = prose[way[-1]] / prose[0]
-    return [(page.path(at), 0.0 if up else share) for up, at in enumerate(reversed(way))]
+    for at in range(1, len(page.parents)):
+        if page.parents[at] == way[-1] and held[at] == held[0]:
+            way.append(at)
+    return [(page.path(at), float(not up)) for up, at in enumerate(reversed(way))]
 
 
 def text_of(page: Page, path: str | None) -> str:
@@ -262,7 +259,7 @@ def text_of(page: Page, path: str | None) -> str:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """The main text of every page.
 
-    First every page scores its containers. Scores are summed per host and generalised path
+    First every page scores the containers that hold all of its text. Scores are summed per host and generalised path
     (tags and classes from the root, digits levelled), which is a count per key and no group that
     must fit into one task. Then each page takes, among the containers it proposed, the path that
     its host's pages voted for most (of equals the first in code points), and its text is
