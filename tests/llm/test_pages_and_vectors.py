@@ -61,6 +61,19 @@ def test_extract_keeps_what_stands_beside_the_largest_part(spark):
         assert "Other long words" not in r.text and "cookies" not in r.text
 
 
+def test_linked_blocks_of_an_article_stay():
+    linked = "<a href=x>{}</a>"
+    main = (
+        f"<article><p>Some prose of the article, in one sentence.</p><table><tr><td>{linked.format('Cell name')}</td></tr></table>"
+        f"<dl><dt>{linked.format('Term')}</dt></dl><figure><figcaption>{linked.format('Caption')}</figcaption></figure>"
+        f"<blockquote>{linked.format('Quoted')}</blockquote><div>{linked.format('Boxed')}</div><ul><li>{linked.format('Source one')}</li></ul></article>"
+    )
+    found = html_text.parse(page(main))
+    text = html_text.text_of(found, html_text.candidates(found)[0][0])
+    assert text.split("\n\n") == ["Some prose of the article, in one sentence.", "Cell name", "Term", "Caption", "Quoted", "Boxed", "Source one"]
+    assert html_text.candidates(html_text.parse("<ul><li><a href=x>Only a menu</a></li></ul>")) == []
+
+
 @pytest.mark.parametrize("source", ["", "<", "<p", "a<b", "<div", "</p></div>", "<script>x", "<!--", "<a href='", "&#x110000; &#0;", "<p/>x<br/>y"])
 def test_parse_never_fails(source):
     found = html_text.parse(source)

@@ -242,18 +242,13 @@ def candidates(page: Page) -> list[tuple[str, float]]:
 
 
 def text_of(page: Page, path: str | None) -> str:
-    """The blocks of all containers with the path, those of bare links left out, in page order."""
+    """The blocks of all containers with the path, in page order."""
     if path is None:
         return ""
     inside = [False] * len(page.parents)
     for at in range(len(page.parents)):
         inside[at] = (at > 0 and inside[page.parents[at]]) or page.path(at) == path
-    kept = [
-        text
-        for container, element, text, linked in page.blocks
-        if inside[container] and not (element not in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6") and linked * 5 > len(text) * 4)
-    ]
-    return "\n\n".join(kept)
+    return "\n\n".join(text for container, _, text, _ in page.blocks if inside[container])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -266,8 +261,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     extracted again from all containers with that path.
 
     Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out by
-    tag, role, class and id. Blocks are joined by two line feeds; white space in a block is one
-    space. Returns the key, the url, ``text``, ``n_chars`` and ``path``. Null and empty pages, and
+    tag, role, class and id; in the chosen container nothing else is, also no lists or tables of
+    links. Blocks are joined by two line feeds; white space in a block is one space. Returns the key, the url, ``text``, ``n_chars`` and ``path``. Null and empty pages, and
     pages without text of their own, have an empty text and a null path. A null url is a host of its own.
     Repeated rows vote each and give a row each. An empty table gives no rows. Other columns are
     not read. ``pages`` is read twice and has to give its rows in the same order, as stored tables do.
