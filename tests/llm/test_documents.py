@@ -311,6 +311,11 @@ def test_quality_model_tells_junk(spark, documents, nothing):
     assert quality_model.score_quality(nothing).count() == 0
 
 
+@pytest.mark.parametrize("line", ["他们说了很多话。", "行きますか？", "यह एक वाक्य है।", "هل هذا صحيح؟", "「そうです」", "یہ ایک جملہ ہے۔"])
+def test_sentences_of_other_scripts_end(line):
+    assert quality_model.shares(line, line.encode().split())[7] == 0.0
+
+
 def test_automata_find_misspellings():
     lexicon = toxicity.Lexicon(["idiot", "pathetic", "disgusting", "bad"], ["scum"], frozenset(["idiom"]))
     for word, term, edits in [

@@ -35,7 +35,12 @@ LABELLERS = {
 #: documents bad, and bad ones, with this weight against the corpus, and never more good ones than
 #: MOST_FALSE. So what shows one flaw only is bad, though most labellers like it.
 BAD_OF_GOOD, BAD_OF_BAD, TRUST, MOST_FALSE = 0.002, 0.125, 0.5, 0.005
-SENTENCE_ENDS = (".", "!", "?", "…", "»", "”", '"', ")", ":", ";")
+#: Ends of sentences in several scripts, and what may stand after them.
+SENTENCE_ENDS = (
+    *(".", "!", "?", "…", "»", "”", '"', ")", ":", ";"),
+    *"。．！？：；｡」』）",  # Chinese, Japanese
+    *"।॥؟۔؛։።။។",  # Devanagari, Arabic, Urdu, Armenian, Ethiopic, Burmese, Khmer
+)
 
 
 def shares(text: str, words: list[bytes]) -> list[float]:
@@ -72,6 +77,8 @@ def votes_of(found: list[float]) -> int:
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Dawid and Skene's estimate: per pattern the probability of good, and (class, labeller, vote) rates.
 
+    The rates are free only within what BAD_OF_GOOD, BAD_OF_BAD, TRUST and MOST_FALSE, set by hand, leave.
+
     Labellers are taken as independent within a class; one that abstains tells nothing.
     """
     votes = patterns[:, None] >> 2 * np.arange(len(LABELLERS)) & 3
