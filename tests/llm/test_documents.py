@@ -379,3 +379,21 @@ def test_toxicity_learns(spark, nothing):
     none = toxicity.score_toxicity(docs, known.limit(0)).collect()
     assert len(none) == len(rows) and all(r.predicted == 0 for r in none)
     assert toxicity.score_toxicity(nothing, known).count() == 0
+
+
+def test_misspellings_count_among_many_near_words(spark):
+    rng = np.random.default_rng(8)
+    plain = [f"w{i}" for i in range(300)] + ["lover", "lower", "laser", "poser", "loses", "scam", "slum", "scud"] * 8
+    rows, labels = [], []
+    for i in range(400):
+        text = list(rng.choice(plain, 40))
+        if i % 4 == 0:
+            for k in rng.integers(0, 40, 3):
+                text[k] = str(rng.choice(["loser", "scum"]))
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(1000, "w1 w2 w3 l0ser w4 w5 sc0m w7 w8"), (1001, "w1 lover w3 lower w4 scam w5 slum w7")]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert all(got[i].predicted == y for i, y in labels)
+    assert got[1000].predicted == 1 and got[1001].predicted == 0

@@ -24,8 +24,6 @@ STEMS = range(3, 9)
 MIN_DOCUMENTS, MIN_SURROUNDINGS, MIN_LIFT = 4, 6, 15.0
 #: A stem has so many different endings.
 MIN_ENDINGS = 3
-#: A term that more harmless words than this come near allows no edits.
-MOST_NEAR = 2
 #: Terms of the lexicon, at most: those in most toxic documents.
 MOST_TERMS = 5000
 #: Words before a term that report it, and words that aim it at a reader.
@@ -47,8 +45,8 @@ def tokens_of(text: str) -> list[str]:
 
 
 def edits_for(term: str) -> int:
-    """Edits a whole word may have: none below five letters, two from nine."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """Edits a whole word may have: none below four letters, two from nine."""
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 @dataclass
@@ -303,29 +301,46 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str], dict[str, fl
     return words, stems, {t: weights["w:" + t] for t in words} | {f"{t}*": weights["p:" + t] for t in stems}
 
 
-def harmless(sample: DataFrame, words: list[str], stems: list[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """Words of harmless documents that come near a term, and the terms that many of them come near."""
+def near_misses(sample: DataFrame, words: list[str], stems: list[str]) -> tuple[frozenset[str], ...]:
+    """Words of harmless documents that come near a term, those among them seen once, and strict terms.
+
+    Words of harmless documents are ``clean``. What further near misses tell depends on how many a
+    document brings: harmless ones are as frequent as words seen in one harmless document only
+    (Good and Turing's estimate), toxic ones as those seen in toxic documents alone. Both are rates
+    per document, so terms do not turn strict because more text is labelled.
+    """
     if not words:
-        return frozenset(), frozenset()
+        return frozenset(), frozenset(), frozenset()
 
-    def near_misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(words, stems)
         for batch in batches:
-            seen = {t.strip(EDGE) for text in batch.column(0).to_pylist() for t in tokens_of(text)} - {""}
-            found = [(w, lexicon.terms[t]) for w in seen for t, edits in [lexicon.find(w)] if edits]
-            columns = list(zip(*found)) if found else [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string()) for c in columns], names=["word", "term"])
-
-    near = sample.where("toxic = 0").select("text").mapInArrow(near_misses, "word string, term string").distinct()
-    near = cut(near)
-    strict = frozenset(
-        r["term"] for r in near.groupBy("term").count().where(F.col("count") > MOST_NEAR).select("term").collect()
-    )
-    # What is left is at most MOST_NEAR words a term.
-    clean = frozenset(r["word"] for r in near.where(~F.col("term").isin(*strict)).collect()) if strict else frozenset(
-        r["word"] for r in near.collect()
-    )
-    return clean, strict
+            seen: dict[tuple[str, str], list[int]] = {}
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for word in {t.strip(EDGE) for t in tokens_of(text)} - {""}:
+                    term, edits = lexicon.find(word)
+                    if edits:
+                        seen.setdefault((word, lexicon.terms[term]), [0, 0])[toxic] += 1
+            rows = [(*k, toxic, other) for k, (other, toxic) in seen.items()]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["word", "term", "toxic", "other"]
+            )
+
+    counted = sample.select("text", "toxic").mapInArrow(count, "word string, term string, toxic long, other long")
+    near = counted.groupBy("word", "term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()
+    totals = sample.agg(F.sum("toxic"), F.count("*")).first()
+    ratio = (totals[1] - totals[0] + 1) / (totals[0] + 1)
+    new = {w: [0.5, 0.5] for w in words}
+    for r in near:
+        if not r["other"]:
+            new[r["term"]][1] += r["toxic"]
+        elif r["other"] == 1:
+            new[r["term"]][0] += 1
+    clean = frozenset(r["word"] for r in near if r["other"])
+    once = frozenset(r["word"] for r in near if r["other"] == 1)
+    return clean, once, frozenset(w for w, (o, t) in new.items() if t * ratio <= o)
 
 
 def fit(rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -361,8 +376,8 @@ def score_toxicity(
     About ``training`` labelled documents outside the held-out fold, drawn by a hash of the key,
     teach a lexicon of words and stems and the weights of a logistic model. Misspelled terms are
     found by the automata of the lexicon; near misses that are words of harmless documents do not
-    count, and terms that several of those come near count in their exact spelling only. Terms in quotation marks or after reporting words are counted apart from abuse. Labels
-    and keys are not inputs of a score.
+    count, and neither do those of terms whose new near misses are rarer in toxic documents. Terms in quotation marks or after reporting words are counted apart from abuse. Labels and keys
+    are not inputs of a score.
 
     Returns the key, ``held_out``, ``score`` and ``predicted`` (1 from 0.5). Null and empty texts
     get the score of a text without terms. Repeated rows are scored alike; a null key is hashed as
@@ -381,10 +396,11 @@ def score_toxicity(
     words, stems, named = learn_lexicon(sample)
     evidence = np.array([named[t] for t in words] + [named[f"{t}*"] for t in stems])
 
-    clean, strict = harmless(sample, words, stems)
+    clean, once, strict = near_misses(sample, words, stems)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Lexicon(words, stems, clean, strict), evidence)
+        # A word that only one harmless document knows counts there as it would in a new document.
+        reader = Reader(Lexicon(words, stems, clean - once, strict), evidence)
         for batch in batches:
             rows = [reader.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
