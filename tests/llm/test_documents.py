@@ -397,3 +397,11 @@ def test_misspellings_count_among_many_near_words(spark):
     got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
     assert all(got[i].predicted == y for i, y in labels)
     assert got[1000].predicted == 1 and got[1001].predicted == 0
+
+
+def test_lexicon_has_all_terms(spark):
+    rng = np.random.default_rng(9)
+    terms = [f"{chr(97 + i % 26)}{i}" for i in range(6000)]
+    rows = [(" ".join(rng.permutation(terms)), 1) for _ in range(6)] + [(f"plain{i % 7}", 0) for i in range(100)]
+    words, _, weights = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert words == sorted(terms) and weights.keys() >= set(terms)

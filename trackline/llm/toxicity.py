@@ -24,8 +24,6 @@ STEMS = range(3, 9)
 MIN_DOCUMENTS, MIN_SURROUNDINGS, MIN_LIFT = 4, 6, 15.0
 #: A stem has so many different endings.
 MIN_ENDINGS = 3
-#: Terms of the lexicon, at most: those in most toxic documents.
-MOST_TERMS = 5000
 #: Words before a term that report it, and words that aim it at a reader.
 REPORTING = frozenset(
     "said says saying wrote writes written called calls calling quote quotes quoted quoting word words term terms slur "
@@ -269,7 +267,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str], dict[str, fl
         return [], [], {}
     lift = (F.col("toxic") / toxic_docs) / ((F.col("other") + 0.5) / (totals[1] - toxic_docs))
     chosen = term_counts(sample).where((F.col("toxic") >= MIN_DOCUMENTS) & (lift >= MIN_LIFT))
-    rows = chosen.select("term", "toxic", F.log(lift).alias("weight")).orderBy(F.desc("toxic"), "term").limit(4 * MOST_TERMS).collect()
+    rows = chosen.select("term", "toxic", F.log(lift).alias("weight")).collect()
     weights = {r["term"]: float(r["weight"]) for r in rows}
     toxic = sample.where("toxic = 1").select("text")
 
@@ -294,10 +292,11 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str], dict[str, fl
         .where(F.col("term").startswith("w:") | (F.col("endings") >= MIN_ENDINGS))
         .collect()
     )
-    terms = sorted((r["term"] for r in kept))[: 4 * MOST_TERMS]
-    words = [t[2:] for t in terms if t.startswith("w:")][:MOST_TERMS]
-    stems = [t[2:] for t in terms if t.startswith("p:")]
-    stems = [s for s in stems if not any(s[:n] in stems for n in range(1, len(s)))][:MOST_TERMS]
+    # All that pass: the thresholds and the size of the sample bound them.
+    terms = sorted(r["term"] for r in kept)
+    words = [t[2:] for t in terms if t.startswith("w:")]
+    begun = {t[2:] for t in terms if t.startswith("p:")}
+    stems = sorted(s for s in begun if not any(s[:n] in begun for n in range(1, len(s))))
     return words, stems, {t: weights["w:" + t] for t in words} | {f"{t}*": weights["p:" + t] for t in stems}
 
 
