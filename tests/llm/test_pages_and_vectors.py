@@ -131,6 +131,22 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert vector_dedup.near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_cells_of_one_direction_are_visited():
+    got = vector_dedup.reach_of(np.array([1.0000000000000002, 1.0, 2.0, 0.5]), np.array([1, 2, 0, 3]), 0.3)
+    assert got[0] == got[1] == pytest.approx(0.3) and got[2] == -1 and got[3] == pytest.approx(np.arccos(0.5) + 0.3)
+
+
+def test_links_across_cells_of_one_direction(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(40):  # two directions close to each other, each the centre of its own cell
+        base = rng.normal(size=16)
+        rows += [(2 * g, [float(x) for x in base]), (2 * g + 1, [float(x) for x in base + rng.normal(size=16) * 0.02])]
+    monkeypatch.setattr(vector_dedup, "CELL", 1)
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(str((r.vec_id, r.n_links, r.component_id)) for r in got) == sorted(map(str, brute(rows)))
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))] + [(i, i + 1) for i in range(200, 260)] + [(5, 5)]

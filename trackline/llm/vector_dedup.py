@@ -54,6 +54,14 @@ def centres_of(rows: np.ndarray, cells: int) -> np.ndarray:
     return np.unique(centres, axis=0)
 
 
+def reach_of(farthest: np.ndarray, homes: np.ndarray, angle: float) -> np.ndarray:
+    """Angle to a cell's centre within which a partner of its vectors can lie; -1 for cells without vectors.
+
+    The least cosine of a cell's vectors may be rounded to more than 1.
+    """
+    return np.where(homes == 0, -1.0, np.minimum(np.arccos(np.clip(farthest, -1, 1)) + angle + 1e-9, np.pi))
+
+
 def link_block(left: np.ndarray, right: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with at least the cosine; within one block each pair once."""
     product = left @ (left if right is None else right).T
@@ -140,7 +148,7 @@ def near_vectors(
     for row in settled.groupBy("cell").agg(F.min("near").alias("near"), F.count("*").alias("n")).collect():  # one row a cell
         farthest[row["cell"]], homes[row["cell"]] = row["near"], row["n"]
     angle = float(np.arccos(cosine))
-    reach = np.where(farthest > 1, -1.0, np.minimum(np.arccos(np.clip(farthest, -1, 1)) + angle + 1e-9, np.pi))
+    reach = reach_of(farthest, homes, angle)
     between = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
     limits = vectors.sparkSession.sparkContext.broadcast((reach, between))
 
