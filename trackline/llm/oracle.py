@@ -158,10 +158,33 @@ SELECT doc_id, coalesce(least(root, t), t, doc_id) AS class_id, doc_id = coalesc
 FROM documents LEFT JOIN texts USING (text) LEFT JOIN component ON node = t
 """
 
+WINDOWS = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), win AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50)
+), late AS (
+  SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM win)
+  WHERE first < coalesce(doc_id, 9223372036854775807)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM late
+), word AS (
+  SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM split
+), left_words AS (
+  SELECT word.r, string_agg(x, ' ' ORDER BY word.i) AS kept, count(*) AS n
+  FROM word ANTI JOIN gone ON word.r = gone.r AND word.i = gone.i GROUP BY word.r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN left_words USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": MIXING,
     "op6_vector_dedup": VECTORS,
     "op7_quality_rules": QUALITY,
     "op8_line_dedup": LINES,
     "op10_minhash": NEAR,
+    "op11_window_dedup": WINDOWS,
 }

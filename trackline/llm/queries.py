@@ -14,15 +14,20 @@ from trackline.llm import (
     line_dedup,
     mixing,
     packing,
+    period_runs,
     quality_model,
     quality_rules,
     suffix_dedup,
+    token_alignment,
     toxicity,
     vector_dedup,
+    window_dedup,
 )
 from trackline.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +71,37 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = window_dedup.drop_windows(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.find_runs(period_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"]))
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.expr("1000 * best.length div -best.col3").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = token_alignment.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
+    )
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256))
+    return done.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,4 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_minhash": op10_minhash,
+    "op11_window_dedup": op11_window_dedup,
+    "op12_period_runs": op12_period_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
