@@ -276,27 +276,35 @@ def test_signatures_estimate_weighted_jaccard():
 # Lines
 
 
-def test_lines_of_many_sites_go(documents, nothing):
-    rows = line_dedup.clean(documents)
-    sites = defaultdict(set)
-    first = {}
+@pytest.mark.parametrize("several_texts", [False, True])
+def test_lines_of_many_sites_go(documents, nothing, several_texts):
+    rows = line_dedup.clean(documents, several_texts=several_texts).collect()
+    sites, texts = defaultdict(set), defaultdict(set)
     for d in documents.collect():
-        site = "" if d.source is None else "s" + d.source
-        first[d.text or ""] = min(site, first.get(d.text or "", "z"))
-    for text, site in first.items():
-        for line in text.split("\n"):
-            sites[line.strip(" \t\n\x0b\x0c\r")].add(site)
-    for r in rows.collect():
+        for line in (d.text or "").split("\n"):
+            sites[line.strip(" \t\n\x0b\x0c\r")].add("" if d.source is None else "s" + d.source)
+            texts[line.strip(" \t\n\x0b\x0c\r")].add(d.text)
+    boilerplate = {x for x in sites if x and len(sites[x]) >= 5 and len(texts[x]) > several_texts}
+    for r in rows:
         lines = (r.row.text or "").split("\n")
-        bad = [x for x in lines if x.strip(" \t\n\x0b\x0c\r") and len(sites[x.strip(" \t\n\x0b\x0c\r")]) >= 5]
+        bad = [x for x in lines if x.strip(" \t\n\x0b\x0c\r") in boilerplate]
         assert r.n_removed == len(bad)
         assert r.cleaned == (r.row.text if not bad else "\n".join(x for x in lines if x not in bad))
-    assert sum(r.n_removed for r in rows.collect()) == 12 + 6  # the shared line, and the passage
+    # The shared line, the passage, and without several texts the four lines of a text copied to six sites.
+    assert sum(r.n_removed for r in rows) == 12 + 6 + (0 if several_texts else 6 * 4)
     cleaned = line_dedup.remove_boilerplate(documents)
     assert cleaned.dtypes == documents.dtypes and cleaned.count() == documents.count()
     assert line_dedup.clean(nothing).count() == 0
 
 
+def test_a_site_of_any_copy_counts(spark, nothing):
+    """Copies on sites that sort late are sites as well; null is one site."""
+    rows = [("a line\nalone a", s) for s in ("m", "n", None)] + [("a line\nalone b", s) for s in ("m", "z", "y", "n")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1, *("x",) * 9) for i, (t, s) in enumerate(rows)], nothing.schema)
+    assert {r.n_removed for r in line_dedup.clean(docs, min_sites=5).collect()} == {1}
+    assert {r.n_removed for r in line_dedup.clean(docs, min_sites=6).collect()} == {0}
+
+
 # Quality without labels and toxicity
 
 

@@ -31,7 +31,7 @@ def numbered(stored):
 
 
 @pytest.fixture(scope="module")
-def given(spark, numbered, tmp_path_factory):
+def given(spark, numbered, nothing, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("given") / "documents.parquet")
     odd = [
         {"doc_id": 5000, "text": "a b " * 30 + "c"},
@@ -43,9 +43,7 @@ def given(spark, numbered, tmp_path_factory):
     ]
     blank = dict.fromkeys(numbered[0])
     rows = numbered + [{**blank, **o} for o in odd]
-    from tests.llm.conftest import DOCUMENTS
-
-    spark.createDataFrame([tuple(r[c] for c in DOCUMENTS.names) for r in rows], DOCUMENTS).repartition(3).write.parquet(path)
+    spark.createDataFrame([tuple(r[c] for c in nothing.columns) for r in rows], nothing.schema).repartition(3).write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -30,15 +30,22 @@ def not_blank(line: F.Column) -> F.Column:
     return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
-def spread_lines(pairs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def spread_lines(pairs: DataFrame, min_sites: int = MIN_SITES, several_texts: bool = False) -> DataFrame:
     """Hashes ``line`` that occur at ``min_sites`` distinct sites or more.
 
-    ``pairs`` has one row per line and text with the text's ``site``. Lines of fewer than
-    ``min_sites`` texts cannot qualify and are left out by a count. A HyperLogLog sketch of the
-    sites is built per line where the rows are and merged by the aggregation; estimates clear of
-    the limit decide, and lines near it get an exact count of distinct sites.
+    ``pairs`` has one row per line, ``text_key`` and ``site``. Lines of fewer than ``min_sites``
+    such rows cannot qualify and are left out by a count; so are lines of a single text if
+    ``several_texts`` are asked for. A HyperLogLog sketch of the sites is built per line where the
+    rows are and merged by the aggregation; estimates clear of the limit decide, and lines near
+    it get an exact count of distinct sites.
     """
-    often = cut(pairs.groupBy("line").count().where(F.col("count") >= min_sites).select("line"))
+    counted = pairs.groupBy("line").agg(
+        F.count("site").alias("rows"), F.min("text_key").alias("first"), F.max("text_key").alias("last")
+    )
+    enough = F.col("rows") >= min_sites
+    if several_texts:
+        enough &= F.col("first") < F.col("last")
+    often = cut(counted.where(enough).select("line"))
     if often.count() <= SMALL_LINES:
         often = F.broadcast(often)
     candidates = pairs.join(often, "line")
@@ -52,7 +59,7 @@ def spread_lines(pairs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     if near.count() <= SMALL_LINES:
         near = F.broadcast(near)
     exact = (
-        pairs.join(near, "line")
+        candidates.join(near, "line")
         .groupBy("line", "site")
         .agg(F.lit(1).alias("one"))
         .groupBy("line")
@@ -64,13 +71,18 @@ def spread_lines(pairs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def find_boilerplate(
-    docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES
+    docs: DataFrame,
+    text: str = "text",
+    site: str = "source",
+    min_sites: int = MIN_SITES,
+    several_texts: bool = False,
 ) -> DataFrame:
     """Per text (its hash ``text_key``) the hashes of its lines that are boilerplate, as ``bad``.
 
-    A text that occurs more than once, copied between sites, counts once, at the first of its
-    sites: copies of a document are no boilerplate. Only hashes are shuffled. A line in a third of
-    all texts is spread by (line, text) first, and reaches later steps as one row per task.
+    Every site of every row counts, so the lines of a text that is copied between enough sites are
+    boilerplate as well, unless ``several_texts`` are asked for. Only hashes are shuffled. A line
+    in a third of all texts is spread by (line, text, site) first, and reaches later steps as one
+    row per task.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -80,27 +92,34 @@ def find_boilerplate(
     )
     pairs = write_shared(
         rows.where(not_blank(F.col("raw")))
-        .groupBy(line_hash(F.col("raw")).alias("line"), "text_key")
-        .agg(F.min("site").alias("site")),
+        .select(line_hash(F.col("raw")).alias("line"), "text_key", "site")
+        .distinct(),
         "line-pairs",
     )
-    bad = spread_lines(pairs, min_sites)
+    bad = spread_lines(pairs, min_sites, several_texts)
     if bad.count() <= SMALL_LINES:
         bad = F.broadcast(bad)
     return pairs.join(bad, "line").groupBy("text_key").agg(F.collect_set("line").alias("bad"))
 
 
 def clean(
-    docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES
+    docs: DataFrame,
+    text: str = "text",
+    site: str = "source",
+    min_sites: int = MIN_SITES,
+    several_texts: bool = False,
 ) -> DataFrame:
     """Every row as struct ``row``, with ``n_lines``, ``n_removed`` and the ``cleaned`` text.
 
+    Lines that stand on ``min_sites`` distinct sites go; with ``several_texts``, only if they
+    stand in more than one text.
+
     Lines are split at line feeds and compared without white space at their ends; blank lines stay
     and are not counted. Null and empty texts have no lines and stay as they are. A null site is
     a site of its own. Repeated rows are cleaned alike. Rows travel as one struct, so other columns
     may have any names. An empty table gives no rows.
     """
-    bad = cut(find_boilerplate(docs, text, site, min_sites))
+    bad = cut(find_boilerplate(docs, text, site, min_sites, several_texts))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")).withColumn(
         "text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     )
@@ -116,8 +135,12 @@ def clean(
 
 
 def remove_boilerplate(
-    docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES
+    docs: DataFrame,
+    text: str = "text",
+    site: str = "source",
+    min_sites: int = MIN_SITES,
+    several_texts: bool = False,
 ) -> DataFrame:
     """The documents with cleaned texts, all other columns as they were."""
-    done = clean(docs, text, site, min_sites)
+    done = clean(docs, text, site, min_sites, several_texts)
     return done.select(*(F.col("cleaned").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

@@ -99,10 +99,8 @@ WITH docs AS (
   SELECT r, coalesce(text, '') AS text, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM docs
 ), keyed AS (
   SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line
-), once AS (
-  SELECT k, text, min(coalesce('s' || source, '')) AS site FROM keyed WHERE k <> '' GROUP BY k, text
 ), bad AS (
-  SELECT k FROM once GROUP BY k HAVING count(DISTINCT site) >= 5
+  SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce('s' || source, '')) >= 5
 ), done AS (
   SELECT r, sum((k <> '')::INT)::BIGINT AS n_lines, sum((b.k IS NOT NULL)::INT)::BIGINT AS n_removed,
          string_agg(line, chr(10) ORDER BY n) FILTER (b.k IS NULL) AS cleaned
