@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,7 +160,7 @@ def align(
     both end cut the tokens into groups. Every token points to its farthest-right overlapping
     token, and doubling of the pointers leads all tokens of a group to its terminal token.
 
-    Texts are encoded once, in blocks of bounded size whose ids are kept as a table, with the
+    Texts are encoded once, in blocks of bounded size whose ids are kept, compressed, as a table with the
     distinct id pairs of a block and how many links hold them. Sums over the corpus are plain
     aggregations of those; each block then gets back the sums of its own pairs by a join, so no
     table of all pairs goes through the driver or one task, and a pair that stands in every block
@@ -213,7 +214,7 @@ def align(
             row = [pa.array([block])]
             row.append(one_list(pa.concat_arrays(keys)))
             row += [one_list(pa.array([len(i) for i in x], type=pa.int64())) for x in (ids_a, ids_b)]
-            row += [pa.array([x.tobytes()], type=pa.binary()) for x in (a, b)]
+            row += [pa.array([zstandard.compress(x.tobytes(), 1)], type=pa.binary()) for x in (a, b)]
             row += [one_list(pa.array(x, type=pa.int64())) for x in (codes, links)]
             return pa.RecordBatch.from_arrays(row, names=by_block.names)
 
@@ -243,8 +244,10 @@ def align(
         size_a, size_b = (np.array([len(t) for t in x.bytes]) for x in (first, second))
         row = {c: table.column(c)[0] for c in ("keys", "n_a", "n_b", "a", "b")}
         n_a, n_b = (row[c].values.to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-        a = np.frombuffer(row["a"].as_py(), dtype=id_type(first.bytes))
-        b = np.frombuffer(row["b"].as_py(), dtype=id_type(second.bytes))
+        a, b = (
+            np.frombuffer(zstandard.decompress(row[c].as_py()), dtype=id_type(x.bytes))
+            for c, x in (("a", first), ("b", second))
+        )
         zeros = [0] * len(n_a)
         columns, texts = [n_a, n_b, zeros, zeros, zeros, zeros], [""] * len(n_a)
         if len(a):
