@@ -20,8 +20,12 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate across sources."""
-    return line_dedup.remove_boilerplate(docs)
+    """All documents, without the lines that are boilerplate across sources.
+
+    Lines of a single text stay: a text that is copied between sources would lose every line, and
+    the next stage could not keep one of the copies.
+    """
+    return line_dedup.remove_boilerplate(docs, several_texts=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
