@@ -1,7 +1,9 @@
 """Split series against brute force: slots, ranges, ties, NULL keys, empty and hot chunks."""
 
+import math
 import random
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +186,23 @@ def test_missing_times_come_last(spark):
         df = cut(spark.createDataFrame(rows, SCHEMA), how)
         got = S.shift(df, SERIES, {"before": "v"}).select("tie", "before").collect()
         assert sorted(map(tuple, got), key=lambda r: r[0]) == [(0, 2.0), (1, None), (2, 1.0)]
+
+
+def test_running_sums_of_doubles_are_exact(spark):
+    """The same doubles wherever the series is cut and whatever the partitions, and the right ones."""
+    rng = random.Random(8)
+    steps = [rng.choice([1e9, -1e9, 0.1, 1e-9]) * rng.random() for _ in range(400)]
+    found = set()
+    for chunks, parts in ((1, 1), (7, 3), (400, 5)):
+        df = spark.createDataFrame([("v", i, x) for i, x in enumerate(steps)], "k string, t long, x double").repartition(parts)
+        series = S.Series(("k",), ("t",))
+        cut = S.fixed_chunk(df, series, F.floor(F.col("t") * chunks / 400))
+        done = S.unsplit(S.running_sum(cut, series, {"upto": "x"}, totals={"all": "x"}))
+        assert done.columns == ["k", "t", "x", "upto", "all"]
+        found.add(tuple((r.upto, r.all) for r in done.orderBy("t").collect()))
+    assert len(found) == 1
+    total = Fraction(0)
+    whole = float(sum(map(Fraction, steps)))
+    for x, (upto, everything) in zip(steps, found.pop()):
+        total += Fraction(x)
+        assert math.isclose(upto, float(total), rel_tol=1e-15, abs_tol=1e-15) and math.isclose(everything, whole, rel_tol=1e-15)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackline.functions.exact import limbs, total
 from trackline.session import shared_dir
 
 KEY = "_series"
@@ -223,9 +224,34 @@ def running_sum(
 ) -> DataFrame:
     """Running total of ``{output: input}`` from the start of the series to the row.
 
-    ``totals`` adds sums over the whole series.
+    ``totals`` adds sums over the whole series. Doubles are summed exactly, by limbs, so a total is
+    the same double wherever the series is cut.
     """
     totals = totals or {}
+    doubles = [
+        c for c in dict.fromkeys((*columns.values(), *totals.values())) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    ]
+    if doubles:
+        parts = {f"_limb{i}_{c}": limb for c in doubles for i, limb in enumerate(limbs(F.col(c)))}
+
+        def spread(wanted: dict[str, str]) -> dict[str, str]:
+            return {
+                name: src
+                for out, c in wanted.items()
+                for name, src in ([(f"_{out}_{i}", f"_limb{i}_{c}") for i in range(4)] if c in doubles else [(out, c)])
+            }
+
+        summed = running_sum_parts(df.withColumns(parts), series, spread(columns), spread(totals))
+        made = [out for out, c in {**columns, **totals}.items() if c in doubles]
+        found = summed.withColumns({out: total(*[F.col(f"_{out}_{i}") for i in range(4)]) for out in made})
+        return found.drop(*parts, *[f"_{out}_{i}" for out in made for i in range(4)])
+    return running_sum_parts(df, series, columns, totals)
+
+
+def running_sum_parts(
+    df: DataFrame, series: Series, columns: dict[str, str], totals: dict[str, str]
+) -> DataFrame:
+    """Running totals of columns whose sums do not depend on their order."""
     rows = series.rows().rowsBetween(*_up_to_here)
     local = df.withColumns({out: F.sum(src).over(rows) for out, src in columns.items()})
     sums = df.groupBy(CHUNK, KEY).agg(
