@@ -198,11 +198,13 @@ CTES["lap_readings"] = f"""SELECT {cols(LK, 'l.')}, l.lap_start_timestamp_utc,
  l.lap_end_timestamp_utc, r.time_utc, {cols(WEATHER, 'r.')}
  FROM combined l JOIN weather r ON l.circuit = r.circuit AND l.race_number = r.race_number
  AND r.time_utc BETWEEN l.lap_start_timestamp_utc AND l.lap_end_timestamp_utc"""
+# Means to be rounded are of exact sums, in units of 2**-60, which do not depend on the order of the rows.
+UNIT = 2**60
 CTES["lap_facts"] = f"""SELECT {cols(LK, 'l.')}, l.lap_start_timestamp_utc, l.lap_end_timestamp_utc,
  l.lap_duration_seconds, l.lap_duration_minutes, {cols(DETAILS, 'l.')},
  {each(WEATHER, 'round(s.x_{0}, 3) AS lap_max_{0}, round(s.a_{0}, 3) AS lap_mean_{0}, round(s.m_{0}, 3) AS lap_median_{0}')}
  FROM combined l LEFT JOIN (SELECT {cols(LK)},
-  {each(WEATHER, 'max({0}) AS x_{0}, avg({0}) AS a_{0}, median({0}) AS m_{0}')}
+  {each(WEATHER, 'max({0}) AS x_{0}, CAST(sum(CAST({0} * ' + str(UNIT) + ' AS HUGEINT)) AS DOUBLE) / ' + str(UNIT) + ' / count({0}) AS a_{0}, median({0}) AS m_{0}')}
   FROM lap_readings GROUP BY ALL) s
  ON {' AND '.join(f'l.{k} = s.{k}' for k in LK)}
  WHERE l.lap_start_timestamp_utc IS NOT NULL OR l.lap_end_timestamp_utc IS NOT NULL"""
@@ -269,6 +271,7 @@ CTES["aligned"] = f"""SELECT p.*, g.signature_event_source, g.signature_event_sh
  JOIN metrics k USING (circuit, vehicle_id, meter_position_m)"""
 DRIVER = "circuit, vehicle_id, vehicle_number"
 CTES["by_lap"] = f"""SELECT {DRIVER}, outing, lap, avg(event_match_flag) AS alignment_ratio,
+ count(*) AS evaluated_events, CAST(sum(event_match_flag) AS BIGINT) AS matched_events,
  {', '.join(f'avg({s}_delta) AS avg_{s}_delta' for s in SHORT.values())}
  FROM aligned GROUP BY {DRIVER}, outing, lap"""
 CTES["by_driver"] = f"""SELECT {DRIVER}, count(DISTINCT lap) AS laps_analyzed,

@@ -346,9 +346,7 @@ add(
 )
 add(
     "lap_consistency",
-    lambda m: consistency.lap_consistency(consistency.alignment(m.audit_placed)).drop(
-        "evaluated_events", "matched_events"
-    ),
+    lambda m: consistency.lap_consistency(consistency.alignment(m.audit_placed)),
     "SELECT * FROM by_lap",
     ["alignment_ratio", *[f"avg_{d}" for d in DELTAS]],
 )
@@ -665,7 +663,6 @@ add(
   FROM timeline WHERE {O.COORDS}
   WINDOW w AS (PARTITION BY {O.VK} ORDER BY event_timestamp, event_source))""",
     "distance",
-    1,
 )
 add("braking_points", _braking, "SELECT * EXCLUDE (circuit, race_number) FROM braking",
     "speed_drop deceleration_rate")

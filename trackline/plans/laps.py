@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackline.functions.numbers import scaled_round
 from trackline.functions.times import local_time, seconds_between
 from trackline.operators.intervals import LEVELS, join_points_in_intervals
-from trackline.operators.quantiles import MAX_GROUP_ROWS, percentiles_by_group
-from trackline.operators.series import Series, fixed_chunk, largest_group, shift, unsplit
+from trackline.operators.ranges import MAX_WINDOW_ROWS, range_statistics
+from trackline.operators.series import Series, fixed_chunk, shift, unsplit
 from trackline.plans.weather import converted
 
 LAP_EVENT = ("circuit", "race_number", "vehicle_id", "lap")
@@ -124,18 +125,24 @@ def lap_weather_statistics(
     laps: DataFrame,
     weather: DataFrame,
     levels: Sequence[int] = LEVELS,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_WINDOW_ROWS,
 ) -> DataFrame:
-    """Maximum, mean and median of each measure per lap from one interval join."""
-    outputs = {f"lap_median_{m}": (m, 0.5) for m in MEASURES}
-    extra = []
-    for m in MEASURES:
-        extra += [F.max(m).alias(f"lap_max_{m}"), F.avg(m).alias(f"lap_mean_{m}")]
-    # A lap meets a reading of its race at most once, so no lap group exceeds the fullest race.
-    bound = largest_group(weather, ["circuit", "race_number"])
-    return percentiles_by_group(
-        lap_weather(laps, weather, levels), LAP, outputs, extra, bound, max_rows
+    """Maximum, mean and median of each measure per lap, without a row per lap and reading."""
+    keyed = laps.select(*LAP, "lap_start_timestamp_utc", "lap_end_timestamp_utc").dropna(subset=list(LAP))
+    readings = converted(weather).select("circuit", "race_number", "time_utc", *MEASURES)
+    found = range_statistics(
+        keyed,
+        readings,
+        ["circuit", "race_number"],
+        LAP,
+        "lap_start_timestamp_utc",
+        "lap_end_timestamp_utc",
+        "time_utc",
+        MEASURES,
+        levels,
+        max_rows,
     )
+    return found.withColumnsRenamed({f"{s}_{m}": f"lap_{s}_{m}" for s in ("max", "mean", "median") for m in MEASURES})
 
 
 def lap_facts(
@@ -143,7 +150,7 @@ def lap_facts(
     end_events: DataFrame,
     weather: DataFrame,
     levels: Sequence[int] = LEVELS,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_WINDOW_ROWS,
 ) -> DataFrame:
     laps = combined_laps(lap_starts(start_events), lap_ends(end_events))
     return with_weather(laps, weather, levels, max_rows)
@@ -153,14 +160,14 @@ def with_weather(
     laps: DataFrame,
     weather: DataFrame,
     levels: Sequence[int] = LEVELS,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_WINDOW_ROWS,
 ) -> DataFrame:
     """Lap facts of combined laps. The laps are used twice, so hand in a stored table of them."""
     statistics = lap_weather_statistics(laps, weather, levels, max_rows)
     # Plain equality: a lap with a NULL in its key keeps its row and gets no statistics.
     joined = laps.join(statistics, list(LAP), "left")
     rounded = [
-        F.round(F.col(f"lap_{s}_{m}"), 3).alias(f"lap_{s}_{m}")
+        scaled_round(F.col(f"lap_{s}_{m}"), 3).alias(f"lap_{s}_{m}")
         for m in MEASURES
         for s in ("max", "mean", "median")
     ]
