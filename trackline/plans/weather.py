@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackline.functions import weather as W
+from trackline.operators.pairs import MAX_CELL_ROWS, self_full_join
 
 QUANTITIES = {
     "air_temp": ("air_temp_fahrenheit", "air_temp_celsius"),
@@ -45,34 +46,32 @@ def quantity(weather: DataFrame, name: str) -> DataFrame:
     return converted(weather).select(*READING, *columns).where(F.col(columns[0]).isNotNull())
 
 
-def wind_facts(weather: DataFrame) -> DataFrame:
+def wind_facts(weather: DataFrame, max_rows: int = MAX_CELL_ROWS) -> DataFrame:
     """Wind direction and speed of one race second, also where one of the two is missing.
 
-    Pairs come from an inner join, which Spark can split where a second holds very many readings,
-    and readings without a partner from joins with the distinct seconds of the other side.
+    The readings are read and exchanged once; ``max_rows`` bounds the readings of one side of a
+    second that meet in one place.
     """
     at = ["circuit", "race_number", "time_utc_seconds"]
-    direction = quantity(weather, "wind_direction").withColumn(
-        "_normal", W.normal_degrees(F.col("wind_direction_degrees"))
+    readings = converted(weather)
+    direction = F.struct(F.col("time_utc"), F.col("wind_direction_degrees"))
+    speed = F.struct(F.col("time_utc"), F.col("wind_speed_mph"), F.col("wind_speed_kph"))
+    both = self_full_join(
+        readings,
+        at,
+        F.when(F.col("wind_direction_degrees").isNotNull(), direction),
+        F.when(F.col("wind_speed_mph").isNotNull(), speed),
+        max_rows,
     )
-    direction = direction.withColumnRenamed("time_utc", "_direction_time")
-    speed = quantity(weather, "wind_speed").withColumnRenamed("time_utc", "_speed_time")
-    pairs = direction.join(speed, at)
-    lone_direction = direction.join(speed.select(*at).distinct(), at, "left_anti")
-    lone_speed = speed.join(direction.select(*at).distinct(), at, "left_anti")
-    both = pairs.unionByName(lone_direction, allowMissingColumns=True).unionByName(
-        lone_speed, allowMissingColumns=True
-    )
-    return both.where(
-        F.col("wind_speed_mph").isNotNull() | F.col("wind_direction_degrees").isNotNull()
-    ).select(
-        F.coalesce("_direction_time", "_speed_time").alias("time_utc"),
+    degrees, mph = F.col("left.wind_direction_degrees"), F.col("right.wind_speed_mph")
+    return both.select(
+        F.coalesce("left.time_utc", "right.time_utc").alias("time_utc"),
         "time_utc_seconds",
-        "wind_speed_mph",
-        "wind_speed_kph",
-        "wind_direction_degrees",
-        W.compass_label(F.col("_normal")).alias("wind_direction_label"),
-        W.speed_band(F.col("wind_speed_mph")).alias("wind_speed_band_mph"),
+        mph.alias("wind_speed_mph"),
+        F.col("right.wind_speed_kph").alias("wind_speed_kph"),
+        degrees.alias("wind_direction_degrees"),
+        W.compass_label(W.normal_degrees(degrees)).alias("wind_direction_label"),
+        W.speed_band(mph).alias("wind_speed_band_mph"),
         "circuit",
         "race_number",
     )
