@@ -1,14 +1,18 @@
 """Quantiles, interval joins, histograms and modes against brute force on small fixtures."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trackline.operators import stats
 from trackline.operators.intervals import join_points_in_intervals
+from trackline.functions.numbers import ordered_bits
+from trackline.operators import quantiles
 from trackline.operators.quantiles import percentiles_by_group
 
 T0 = datetime(2025, 9, 6, 17)
@@ -109,15 +113,46 @@ def test_unpivot_drops_missing(spark):
     assert [tuple(r) for r in got] == [(1, "A", 2.0)]
 
 
-def test_percentile_paths_give_the_same_doubles(spark):
-    import random
-
-    from trackline.operators.quantiles import percentiles_by_group
-
+def test_percentile_paths_give_the_same_doubles(spark, monkeypatch):
+    """Narrowing finds what the built-in aggregate finds, also at the ends of the range of doubles."""
     rng = random.Random(11)
-    rows = [(rng.choice("ab"), rng.choice([None, rng.uniform(-1, 1), round(rng.uniform(0, 3), 1)])) for _ in range(700)]
-    df = spark.createDataFrame(rows + [("c", 0.1), ("c", 0.7)], "k string, v double")
+    odd = [None, 0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, math.inf, -math.inf, 1.7976931348623157e308, 2.0, math.nextafter(2, 0)]
+    rows = [
+        (rng.choice(["a", "b", None]), rng.choice([None, rng.uniform(-1, 1), round(rng.uniform(0, 3), 1)]), rng.choice(odd))
+        for _ in range(700)
+    ]
+    df = spark.createDataFrame(rows + [("c", 0.1, None), ("c", 0.7, None)], "k string, v double, w double")
     outputs = {f"p{int(p * 100)}": ("v", p) for p in (0.1, 0.25, 0.5, 0.75, 0.9, 0.333)}
-    built_in = percentiles_by_group(df, ["k"], outputs, group_rows=1)
-    by_rank = percentiles_by_group(df, ["k"], outputs, group_rows=10**9, max_rows=100)
-    assert sorted(map(tuple, built_in.collect())) == sorted(map(tuple, by_rank.select(built_in.columns).collect()))
+    outputs |= {f"w{int(p * 100)}": ("w", p) for p in (0.0, 0.2, 0.5, 1.0)}
+    plans = []
+    store = quantiles.write_shared
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(quantiles, "write_shared", seen)
+    built_in = quantiles.percentiles_by_group(df, ["k"], outputs, group_rows=1)
+    narrowed = quantiles.percentiles_by_group(df, ["k"], outputs, group_rows=10**9, max_rows=100)
+    want = {r.k: tuple(r) for r in built_in.select("k", *outputs).collect()}
+    assert {r.k: tuple(r) for r in narrowed.select("k", *outputs).collect()} == want
+    whole = quantiles.percentiles_by_group(df.select("v"), [], {"m": ("v", 0.3)}, group_rows=10**9, max_rows=100)
+    assert whole.first().m == df.select(F.percentile("v", 0.3)).first()[0]
+    # Rows are counted before they are shuffled, and never sorted by value.
+    assert len(plans) == 10
+    for plan in plans[1:5]:
+        assert "partial_count(1)" in plan and "Sort [_value" not in plan and "rangepartitioning" not in plan
+
+
+def test_ordered_bits(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 64, 4000, dtype=np.uint64).view(np.float64)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    values = np.concatenate([values, powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), -powers, [0.0, np.inf, -np.inf]])
+    values = values[~np.isnan(values)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    size = np.abs(values).view(np.int64)
+    want = np.where(values < 0, -size, size).tolist()
+    assert [r[0] for r in df.select(ordered_bits(F.col("v"))).collect()] == want
+    nan = spark.createDataFrame([(math.nan,), (-0.0,), (None,)], "v double").select(ordered_bits(F.col("v"))).collect()
+    assert [r[0] for r in nan] == [(2047 << 52) + 1, 0, None]
