@@ -115,14 +115,17 @@ def modal_value(
     value: str,
     counted: Sequence[Column] = (),
     also_by: Sequence[str] = (),
+    instances: Column | None = None,
 ) -> DataFrame:
     """The most frequent value per key, the lowest one on a tie, and its share of the key's rows.
 
     ``counted`` names further aggregates per (key, value); ``also_by`` columns are counted apart
-    and break ties after the value. Rows are combined to counts before the first shuffle and
-    counts to one row per key before the second, so no key is gathered as a whole.
+    and break ties after the value; ``instances`` is the number of rows where ``df`` holds counts
+    of them. Rows are combined to counts before the first shuffle and counts to one row per key
+    before the second, so no key is gathered as a whole.
     """
-    counts = df.groupBy(*keys, *also_by, value).agg(F.count(F.lit(1)).alias("instances"), *counted)
+    instances = F.count(F.lit(1)) if instances is None else instances
+    counts = df.groupBy(*keys, *also_by, value).agg(instances.alias("instances"), *counted)
     found = [c for c in counts.columns if c not in keys]
     order = [-F.col("instances")]
     for c in (value, *also_by):

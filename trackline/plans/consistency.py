@@ -25,6 +25,7 @@ LAP_SERIES = Series(
 )
 DISTANCE_SLOTS = (1000.0, 50.0, 1.0)
 PLACE = ("circuit", "vehicle_id", "meter_position_m")
+DRIVER = ("circuit", "vehicle_id", "vehicle_number")
 
 # Measure, its deviation column per metre, delta column, deviation column of the
 # audit. The uneven name in the last row is the one callers know.
@@ -78,20 +79,40 @@ def metre_metrics(placed: DataFrame) -> DataFrame:
     return placed.groupBy(*PLACE).agg(*aggregates, F.countDistinct("lap").alias("laps_covered"))
 
 
-def lap_matches(placed: DataFrame) -> DataFrame:
-    """Share of the events of each lap that follow their driver's signature.
+def lattice(placed: DataFrame) -> DataFrame:
+    """Events counted, and their measures summed, per driver, outing, lap, metre and source; stored.
 
-    Events are counted per lap, metre and source first, so the counts meet the signature and the
-    events themselves do not.
+    Counts and sums can be added up along any of these, so signature, share, means and the
+    matches of laps all come from this table, and the events are read for it once.
     """
-    usual = signature(placed).select(*PLACE, "signature_event_source")
-    lap = ("circuit", "vehicle_id", "vehicle_number", "outing", "lap")
-    keys = list(dict.fromkeys((*lap, *PLACE, "event_source")))
-    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sums = [a for m, _, _, _ in MEASURES for a in (F.sum(m).alias(f"_sum_{m}"), F.count(m).alias(f"_count_{m}"))]
+    counted = placed.groupBy(*DRIVER, "outing", "lap", "meter_position_m", "event_source").agg(
+        F.count(F.lit(1)).alias("_n"), *sums
+    )
+    return write_shared(counted, "audit-lattice")
+
+
+def usual_behaviour(counts: DataFrame) -> DataFrame:
+    """Signature source, its share, and the mean of every measure per driver and metre."""
+    modal = modal_value(counts, PLACE, "event_source", also_by=("vehicle_number",), instances=F.sum("_n"))
+    modal = modal.select(
+        *PLACE, F.col("event_source").alias("signature_event_source"), F.col("share").alias("signature_event_share")
+    )
+    means = counts.groupBy(*PLACE).agg(
+        *[
+            (F.sum(f"_sum_{m}") / F.nullif(F.sum(f"_count_{m}"), F.lit(0))).alias(f"_mean_{m}")
+            for m, _, _, _ in MEASURES
+        ]
+    )
+    return modal.join(means, list(PLACE))
+
+
+def lap_matches(counts: DataFrame, usual: DataFrame) -> DataFrame:
+    """Share of the events of each lap that follow their driver's signature."""
     follows = F.col("event_source") == F.col("signature_event_source")
     return (
-        counts.join(usual, list(PLACE))
-        .groupBy(*lap)
+        counts.join(usual.select(*PLACE, "signature_event_source"), list(PLACE))
+        .groupBy(*DRIVER, "outing", "lap")
         .agg((F.sum(F.when(follows, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("alignment_ratio"))
     )
 
@@ -108,17 +129,17 @@ def alignment_rows(
     return alignment(event_order(placed, slots, max_rows), ("avg_laptrigger_lapdist_dls", "laptrigger_variability"))
 
 
-def alignment(placed: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+def alignment(placed: DataFrame, kept: Sequence[str] = (), usual: DataFrame | None = None) -> DataFrame:
     """Each event against its driver's signature and means at the metre.
 
     Signature and means share their key, so they are joined to each other first and the events
-    are joined once. ``kept`` names columns of ``metre_metrics`` to carry along.
+    are joined once. ``kept`` names columns of ``metre_metrics`` to carry along, ``usual`` is the
+    ``usual_behaviour`` where it is known.
     """
-    usual = signature(placed).select(*PLACE, "signature_event_source", "signature_event_share")
-    means = metre_metrics(placed).select(
-        *PLACE, *[F.col(f"avg_{m}").alias(f"_mean_{m}") for m, _, _, _ in MEASURES], *kept
-    )
-    joined = _flagged(placed.join(usual.join(means, list(PLACE)), list(PLACE)))
+    usual = usual_behaviour(lattice(placed)) if usual is None else usual
+    if kept:
+        usual = usual.join(metre_metrics(placed).select(*PLACE, *kept), list(PLACE))
+    joined = _flagged(placed.join(usual, list(PLACE)))
     return joined.withColumns(
         {d: F.abs(F.col(m) - F.col(f"_mean_{m}")) for m, _, d, _ in MEASURES}
     ).drop(*[f"_mean_{m}" for m, _, _, _ in MEASURES])
@@ -135,7 +156,7 @@ def lap_consistency(aligned: DataFrame) -> DataFrame:
 
 def driver_consistency(placed: DataFrame) -> DataFrame:
     """Mean, median and decile alignment over the laps of a driver."""
-    driver = ["circuit", "vehicle_id", "vehicle_number"]
+    driver = list(DRIVER)
     outputs = {
         "median_alignment_ratio": ("alignment_ratio", 0.5),
         "p10_alignment_ratio": ("alignment_ratio", 0.1),
@@ -146,9 +167,10 @@ def driver_consistency(placed: DataFrame) -> DataFrame:
         F.avg("alignment_ratio").alias("avg_alignment_ratio"),
         *[F.avg(f"avg_{d}").alias(f"avg_{d}") for _, _, d, _ in MEASURES],
     ]
-    # Stored, as the count of laps and the percentiles both read it.
-    laps = write_shared(lap_consistency(alignment(placed)), "lap-consistency")
-    return percentiles_by_group(laps, driver, outputs, extra, largest_group(laps, driver))
+    counts = lattice(placed)
+    laps = lap_consistency(alignment(placed, usual=usual_behaviour(counts)))
+    # No driver has more laps than rows of the lattice.
+    return percentiles_by_group(laps, driver, outputs, extra, largest_group(counts, driver))
 
 
 def metre_changes(aligned: DataFrame) -> DataFrame:
@@ -158,8 +180,9 @@ def metre_changes(aligned: DataFrame) -> DataFrame:
     return aligned.groupBy(*keys).agg(
         F.max("sector_length_m").alias("sector_length_m"),
         F.count(F.lit(1)).alias("evaluated_events"),
-        F.countDistinct("outing").alias("outings_covered"),
-        F.countDistinct("lap").alias("laps_covered"),
+        # Sets of small numbers, the laps of one driver; two distinct counts would copy every event.
+        F.size(F.collect_set("outing")).cast("bigint").alias("outings_covered"),
+        F.size(F.collect_set("lap")).cast("bigint").alias("laps_covered"),
         F.avg("event_match_flag").alias("meter_alignment_ratio"),
         (1 - F.avg("event_match_flag")).alias("meter_change_ratio"),
         F.avg("signature_event_share").alias("avg_signature_event_share"),
@@ -174,17 +197,18 @@ def audit(placed: DataFrame, least_laps: int = 3, rows: int | None = None) -> Da
     The driver average is attached by circuit and vehicle without the vehicle number, so a vehicle
     that ran under two numbers shows once per number.
     """
-    driver = ("circuit", "vehicle_id", "vehicle_number")
+    counts = lattice(placed)
+    usual = write_shared(usual_behaviour(counts), "usual-behaviour")
     drivers = (
-        lap_matches(placed)
-        .groupBy(*driver)
+        lap_matches(counts, usual)
+        .groupBy(*DRIVER)
         .agg(
             F.countDistinct("lap").alias("laps_analyzed"),
             F.avg("alignment_ratio").alias("avg_alignment_ratio"),
         )
         .drop("vehicle_number")
     )
-    kept = metre_changes(alignment(placed)).where(F.col("laps_covered") >= least_laps)
+    kept = metre_changes(alignment(placed, usual=usual)).where(F.col("laps_covered") >= least_laps)
     joined = kept.join(drivers, ["circuit", "vehicle_id"], "left").orderBy(
         F.col("meter_change_ratio").desc_nulls_last(),
         F.col("meter_position_m").asc_nulls_last(),
