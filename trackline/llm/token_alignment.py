@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from trackline.llm.blocks import BLOCK_BYTES, TASK_BLOCKS
+from trackline.llm.blocks import TASK_BLOCKS
 from trackline.llm.words import PLAIN, byte_letters
 from trackline.session import write_shared
 
-#: How byte-level files of this kind split texts, in their library and here.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How byte-level files of this kind split texts, written so that no match is taken back.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Texts encoded at a time.
-TEXTS = 256
+TEXTS = 128
+#: Text bytes after which a block is closed; a longer text is a block by itself. Their tokens are
+#: held as arrays, about a hundred bytes for each byte of text.
+BLOCK_BYTES = 1 << 19
 
 
 class ByteTokenizer:
@@ -37,25 +40,27 @@ class ByteTokenizer:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
-        vocab = self.slow.get_vocab(with_added_tokens=True)
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        vocab = spec["model"]["vocab"] | added
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.fast = None
         if self._ranks_merges(spec):
-            ranks = {self.bytes[i]: i for i in spec["model"]["vocab"].values()}
-            added = {self.bytes[t["id"]] for t in spec.get("added_tokens", ())}
-            self.fast = tiktoken.Encoding(
-                "bytes",
-                pat_str=PATTERN,
-                mergeable_ranks={t: i for t, i in ranks.items() if t not in added},
-                special_tokens={},
-            )
+            ranks = {self.bytes[i]: i for i in vocab.values() if i not in added.values()}
+            self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @property
+    def slow(self) -> Tokenizer:
+        """The file's own library, loaded when a text first needs it."""
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = True
+        return self.library
 
     @staticmethod
     def _ranks_merges(spec: dict) -> bool:
@@ -102,8 +107,8 @@ def load(byte_file: str, piece_file: str) -> tuple[ByteTokenizer, PieceTokenizer
     return found
 
 
-def id_type(tokens: list[bytes]) -> str:
-    return "<u2" if len(tokens) <= 1 << 16 else "<u4"
+def id_type(ids: int) -> str:
+    return "<u2" if ids <= 1 << 16 else "<u4"
 
 
 class Alignment:
@@ -116,11 +121,17 @@ class Alignment:
     def __init__(self, size_a: np.ndarray, size_b: np.ndarray) -> None:
         end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
         n = len(end_a)
+        marks = np.zeros((2, int(end_a[-1]) + 1), dtype=bool)
+        marks[0, end_a] = marks[1, end_b] = True
+        ends = np.flatnonzero(marks[0] | marks[1])
+        in_a, in_b = marks[0, ends], marks[1, ends]
+        # A link ends where a token of either side ends, and holds the tokens that are open there.
+        self.pair_a, self.pair_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        self.last = in_a & in_b
         # Every token points to the one that overlaps it and ends last. Where none ends behind it,
         # a points to itself, and b to the a that ends with it.
-        over = np.searchsorted(end_b, end_a)
-        points = np.concatenate([np.arange(n), np.searchsorted(end_a, end_b)])
-        points[:n] = np.where(end_b[over] > end_a, over + n, points[:n])
+        points = np.concatenate([np.arange(n), self.pair_a[in_b]])
+        points[:n] = np.where(self.last[in_a], points[:n], self.pair_b[in_a] + n)
         while True:
             further = points[points]
             if np.array_equal(further, points):
@@ -128,9 +139,6 @@ class Alignment:
             points = further
         number = np.cumsum(points[:n] == np.arange(n)) - 1
         self.group_a, self.group_b = number[points[:n]], number[points[n:]]
-        ends = np.union1d(end_a, end_b)
-        self.pair_a, self.pair_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        self.last = (end_a[self.pair_a] == ends) & (end_b[self.pair_b] == ends)
 
 
 class GroupText:
@@ -174,6 +182,9 @@ def align(
     by itself and count each. An empty table gives no rows. Other columns are not carried, so
     their names do not matter.
     """
+    sizes = [np.array([len(t) for t in x.bytes]) for x in load(byte_file, piece_file)]
+    size_a, size_b = sizes
+    kinds = [id_type(len(size)) for size in sizes]
     kind = docs.schema[key].dataType
     by_block = T.StructType(
         [
@@ -197,7 +208,6 @@ def align(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = load(byte_file, piece_file)
-        size_a, size_b = (np.array([len(t) for t in x.bytes]) for x in (first, second))
         spell_a, spell_b = first.bytes.__getitem__, second.bytes.__getitem__
         block = TaskContext.get().partitionId() * TASK_BLOCKS
         keys: list[pa.Array] = []
@@ -229,8 +239,8 @@ def align(
                     if a and b"".join(map(spell_a, a)) != want:
                         a = []
                     keys.append(part.column(0).slice(i, 1))
-                    ids_a.append(np.array(a, dtype=id_type(first.bytes)))
-                    ids_b.append(np.array(b if a else [], dtype=id_type(second.bytes)))
+                    ids_a.append(np.array(a, dtype=kinds[0]))
+                    ids_b.append(np.array(b if a else [], dtype=kinds[1]))
                     held += len(want)
                     if held >= BLOCK_BYTES:
                         yield close()
@@ -240,13 +250,11 @@ def align(
             yield close()
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        first, second = load(byte_file, piece_file)
-        size_a, size_b = (np.array([len(t) for t in x.bytes]) for x in (first, second))
         row = {c: table.column(c)[0] for c in ("keys", "n_a", "n_b", "a", "b")}
         n_a, n_b = (row[c].values.to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
         a, b = (
-            np.frombuffer(zstandard.decompress(row[c].as_py()), dtype=id_type(x.bytes))
-            for c, x in (("a", first), ("b", second))
+            np.frombuffer(zstandard.decompress(row[c].as_py()), dtype=kind_)
+            for c, kind_ in zip("ab", kinds)
         )
         zeros = [0] * len(n_a)
         columns, texts = [n_a, n_b, zeros, zeros, zeros, zeros], [""] * len(n_a)
@@ -275,9 +283,8 @@ def align(
     tokens = write_shared(chosen.mapInArrow(encode, by_block), "tokens")
     pairs = tokens.select(F.col("block").alias("at"), F.explode(F.arrays_zip("codes", "links")).alias("x"))
     pairs = pairs.select("at", F.col("x.codes").alias("code"), F.col("x.links").alias("links"))
-    other = len(PieceTokenizer(piece_file).bytes)
     counts = pairs.groupBy("code").agg(F.sum("links").alias("total"))
-    counts = write_shared(counts.withColumn("second", F.col("code") % other), "pair-counts")
+    counts = write_shared(counts.withColumn("second", F.col("code") % len(size_b)), "pair-counts")
     most = counts.groupBy("second").agg(F.max("total").alias("most"))
     ranked = counts.join(most, "second").select("code", "total", (F.col("total") == F.col("most")).alias("best"))
     answers = pairs.select("at", "code").join(ranked, "code")
