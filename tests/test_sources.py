@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 
 from trackline.sources import catalog, tables
+from trackline.sources.schemas import SCHEMAS
 
 
 def test_catalogue_is_complete():
@@ -95,3 +96,17 @@ def test_json_sink(spark, tmp_path):
     tables.write_json(df, str(tmp_path / "out"))
     lines = [x for p in (tmp_path / "out").glob("part-*.json") for x in p.read_text().splitlines()]
     assert [json.loads(x) for x in lines] == [{"circuit": "a", "n": 1}]
+
+
+def test_plan_does_not_grow_with_files(spark, tmp_path):
+    """The race of a row comes from a join on its file, so twelve files plan like two."""
+    header = ",".join(SCHEMAS["lap_time"].names)
+    races = [(f.circuit, f.race_number) for f in catalog.select_files(catalog.race_files(""), "lap_time")]
+    for n, (circuit, race) in enumerate(races):
+        write(tmp_path, circuit, race, "lap_time", f"{header}\n" + f"{'x,' * header.count(',')}x\n" * (n + 1))
+    few = catalog.read_kind(spark, "lap_time", str(tmp_path), [races[0][0]])
+    every = catalog.read_kind(spark, "lap_time", str(tmp_path))
+    sizes = [len(df._jdf.queryExecution().optimizedPlan().toString()) for df in (few, every)]
+    assert len(races) == 12 and abs(sizes[0] - sizes[1]) < 40
+    counts = {(r.circuit, r.race_number): r["count"] for r in every.groupBy("circuit", "race_number").count().collect()}
+    assert counts == {race: n + 1 for n, race in enumerate(races)}

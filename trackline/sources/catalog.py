@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -152,6 +153,8 @@ FILES: tuple[tuple[str, int | None, str, str], ...] = (
 
 WEATHER_TIME = "M/d/yyyy h:mm:ss a"
 _DELIMITERS = (",", ";", "\t", "|")
+#: Headers read at a time.
+HEADER_THREADS = 16
 
 
 def race_files(root: str = "data_files") -> list[RaceFile]:
@@ -159,6 +162,10 @@ def race_files(root: str = "data_files") -> list[RaceFile]:
     return [RaceFile(circuit, race, kind, f"{root}/{path}") for circuit, race, kind, path in FILES]
 
 
+def _one_slash(path: str) -> str:
+    return re.sub(r"^([a-z0-9]+):/+", r"\1:/", path)
+
+
 def select_files(
     files: list[RaceFile],
     kind: str,
@@ -174,8 +181,8 @@ def select_files(
     ]
 
 
-def _located(spark: SparkSession, path: str) -> tuple[str, str]:
-    """The qualified path of a file or folder of part files, and its first line.
+def _located(spark: SparkSession, path: str) -> tuple[str, str, list[str]]:
+    """The qualified path of a file or folder of part files, its first line, and its parts.
 
     Read through the file system itself: one line per file needs no Spark job.
     """
@@ -188,10 +195,10 @@ def _located(spark: SparkSession, path: str) -> tuple[str, str]:
         found = (s for s in fs.listStatus(place) if s.getPath().getName()[0] not in "_." and s.getLen())
         parts = sorted((s.getPath() for s in found), key=lambda p: p.getName())
     if not parts:
-        return place.toString(), ""
+        return place.toString(), "", []
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(parts[0]), "UTF-8"))
     try:
-        return place.toString(), (reader.readLine() or "").lstrip("\ufeff")
+        return place.toString(), (reader.readLine() or "").lstrip("\ufeff"), [p.toString() for p in parts]
     finally:
         reader.close()
 
@@ -253,7 +260,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None) -> Dat
     Text is cast by ``schema`` with NULL for what does not fit; no type is guessed, and text values
     stay as they stand. Without a schema all columns stay text.
     """
-    place, header = _located(spark, path)
+    place, header, _ = _located(spark, path)
     return _read(spark, [place], header, schema).drop("_file", "_unread")
 
 
@@ -268,33 +275,31 @@ def read_kind(
 ) -> DataFrame:
     """All files of a kind as one table, with the circuit and race each row came from.
 
-    Files with the same header are read together, so the plan grows with the number of different
-    headers. Values that do not fit their column are NULL; ``report`` keeps a column ``_unread``
+    Files with the same header are read together, and a join on the path of each row's file tells
+    its race, so the plan grows with the number of different headers only. Headers are read by
+    several threads at a time. Values that do not fit their column are NULL; ``report`` keeps a column ``_unread``
     that names them (``unread_values`` counts them), and ``strict`` fails on the first one.
     """
     schema = SCHEMAS.get(kind)
     files = select_files(race_files(root), kind, circuits, races)
     if not files:
         raise ValueError(f"no {kind} file for circuits {circuits}, races {races}")
-    groups: dict[str, list[tuple[str, RaceFile]]] = {}
-    for file in files:
-        place, header = _located(spark, file.path)
-        groups.setdefault(header, []).append((place, file))
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        located = list(pool.map(lambda file: _located(spark, file.path), files))
+    groups: dict[str, list[str]] = {}
+    origins = []
+    for file, (place, header, found) in zip(files, located):
+        groups.setdefault(header, []).append(place)
+        origins += [(_one_slash(part), file.circuit, file.race_number) for part in found]
+    origin = spark.createDataFrame(origins, "_path string, circuit string, race_number bigint")
+    # Both paths in one form: decoded, and with one slash after the scheme.
+    path = F.regexp_replace(F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))), "^([a-z0-9]+):/+", "$1:/")
     parts = []
-    for header, members in groups.items():
-        rows = _read(spark, [place for place, _ in members], header, schema)
-        # Both in one form: decoded, and with one slash after the scheme.
-        path = F.regexp_replace(F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))), "^([a-z0-9]+):/+", "$1:/")
-        origin = reduce(
-            lambda rest, member: F.when(
-                path.startswith(re.sub(r"^([a-z0-9]+):/+", r"\1:/", member[0])),
-                F.struct(F.lit(member[1].circuit).alias("circuit"), F.lit(member[1].race_number).cast("bigint").alias("race_number")),
-            ).otherwise(rest),
-            members,
-            F.lit(None).cast("struct<circuit: string, race_number: bigint>"),
-        )
-        rows = rows.withColumn("_origin", origin)
-        parts.append(rows.select(*rows.drop("_file", "_unread", "_origin").columns, "_origin.*", "_unread"))
+    for header, places in groups.items():
+        rows = _read(spark, places, header, schema)
+        columns = rows.drop("_file", "_unread").columns
+        rows = rows.withColumn("_path", path).join(origin, "_path", "left")
+        parts.append(rows.select(*columns, origin["circuit"], origin["race_number"], "_unread"))
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if strict:
         wrong = F.raise_error(F.concat(F.lit(f"{kind}: "), F.array_join("_unread", ", ")))
