@@ -1,12 +1,15 @@
 """From race files to published tables."""
 
+import os
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from trackline.plans import build
 from trackline.sources.catalog import race_files, select_files
 from trackline.sources.schemas import SCHEMAS
+from trackline.sources.tables import Versions, read_table, write_table
 
 T = datetime(2025, 9, 6, 17)
 
@@ -73,3 +76,44 @@ def test_raw_views(spark, tmp_path):
     names = build.publish_raw(spark, str(tmp_path), ["barber"], [1])
     assert len(names) == 10 and "raw_barber_race_1_best_laps" in names
     assert spark.table("raw_barber_race_1_weather").columns == SCHEMAS["weather"].names
+
+
+def test_readers_see_one_version(spark, tmp_path, monkeypatch):
+    """Views stay as they are during and after a refresh, until they are published again."""
+    out = str(tmp_path / "tables")
+    versions = Versions(spark, out)
+    with pytest.raises(FileNotFoundError):
+        versions.current()
+    seen = []
+
+    def refresh(rows):
+        version = versions.new()
+        for name in ("fact_laps", "fact_wind"):
+            write_table(spark.range(rows), version, name, ())
+            seen.append(current())
+        versions.publish(version)
+
+    def current():
+        try:
+            return {name: read_table(spark, versions.current(), name).count() for name in ("fact_laps", "fact_wind")}
+        except FileNotFoundError:
+            return None
+
+    monkeypatch.setattr(build, "STORED", ("fact_laps", "fact_wind"))
+    monkeypatch.setattr(build.telemetry, "SIGNAL_TABLES", {})
+    monkeypatch.setattr(build.telemetry, "SINGLE_SIGNALS", {})
+    monkeypatch.setattr(build.weather, "QUANTITIES", {})
+    refresh(3)
+    assert build.publish(spark, out) == ["fact_laps", "fact_wind"]
+    refresh(5)
+    assert spark.table("fact_laps").count() == spark.table("fact_wind").count() == 3
+    assert seen == [None, None, {"fact_laps": 3, "fact_wind": 3}, {"fact_laps": 3, "fact_wind": 3}]
+    build.publish(spark, out)
+    assert spark.table("fact_laps").count() == 5
+    refresh(7)
+    versions.remove_old(keep=2)
+    assert spark.table("fact_laps").count() == 5 and current() == {"fact_laps": 7, "fact_wind": 7}
+    assert len(os.listdir(f"{out}/_versions")) == 2
+    unfinished = versions.new()
+    write_table(spark.range(9), unfinished, "fact_laps", ())
+    assert current() == {"fact_laps": 7, "fact_wind": 7}

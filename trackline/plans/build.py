@@ -11,7 +11,7 @@ from trackline.plans import laps, telemetry, track, weather
 from trackline.session import use_utc
 from trackline.sources.catalog import race_files, read_kind
 from trackline.sources.schemas import SCHEMAS
-from trackline.sources.tables import RACE_PARTITIONS, publish_view, read_table, write_table
+from trackline.sources.tables import RACE_PARTITIONS, Versions, publish_view, read_table, write_table
 
 SIGNAL_PARTITIONS = (*RACE_PARTITIONS, "telemetry_name")
 
@@ -23,19 +23,23 @@ def refresh(
     circuits: list[str] | None = None,
     races: list[int] | None = None,
 ) -> None:
-    """Write every table below ``out``.
+    """Write a new version of every table below ``out`` and publish it when all are written.
 
     Telemetry is parsed once and stored by race and signal, so a signal table is a folder filter
-    and no text is parsed twice. The timeline is computed from the stored period tables.
+    and no text is parsed twice. The timeline is computed from the stored period tables. Readers
+    see the version published before until the last table is done; a refresh that fails publishes
+    nothing.
     """
     use_utc(spark)
+    versions = Versions(spark, out)
+    version = versions.new()
 
     def source(kind: str) -> DataFrame:
         return read_kind(spark, kind, root, circuits, races)
 
     def store(df: DataFrame, name: str, by: tuple[str, ...] = RACE_PARTITIONS) -> DataFrame:
-        write_table(df, out, name, by)
-        return read_table(spark, out, name)
+        write_table(df, version, name, by)
+        return read_table(spark, version, name)
 
     signals = store(source("telemetry_data"), "telemetry", SIGNAL_PARTITIONS)
     periods = store(telemetry.signal_periods(signals), "signal_periods", SIGNAL_PARTITIONS)
@@ -54,6 +58,7 @@ def refresh(
     store(laps.best_laps(source("best_laps")), "int_laps_best")
     store(laps.with_weather(combined, readings), "fact_laps")
     store(weather.wind_facts(readings), "fact_wind")
+    versions.publish(version)
 
 
 STORED = ("fact_position", "fact_acc", "fact_telemetry_data", "dim_track_sectors",
@@ -62,10 +67,14 @@ STORED = ("fact_position", "fact_acc", "fact_telemetry_data", "dim_track_sectors
 
 
 def tables(spark: SparkSession, out: str) -> dict[str, Callable[[], DataFrame]]:
-    """Readers of all finished tables by name; signal and quantity tables are derived views."""
+    """Readers of all finished tables by name; signal and quantity tables are derived views.
+
+    All of them read the version that is published when this is called.
+    """
+    version = Versions(spark, out).current()
 
     def stored(name: str) -> Callable[[], DataFrame]:
-        return lambda: read_table(spark, out, name)
+        return lambda: read_table(spark, version, name)
 
     found = {name: stored(name) for name in STORED}
     for signal, column in telemetry.SIGNAL_TABLES.items():
@@ -84,7 +93,7 @@ def tables(spark: SparkSession, out: str) -> dict[str, Callable[[], DataFrame]]:
 
 
 def publish(spark: SparkSession, out: str) -> list[str]:
-    """Register every finished table as a temporary view for SQL."""
+    """Register every finished table of the version now published as a temporary view for SQL."""
     use_utc(spark)
     readers = tables(spark, out)
     for name, read in readers.items():
