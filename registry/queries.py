@@ -18,8 +18,8 @@ from trackline.functions import weather as W
 from trackline.operators import stats
 from trackline.operators.series import unsplit
 from trackline.operators.signals import VEHICLE
-from trackline.plans import consistency, laps, pages, telemetry, track, weather
-from trackline.sources.catalog import read_kind, select_files, race_files
+from trackline.plans import build, consistency, laps, pages, telemetry, track, weather
+from trackline.sources.catalog import race_files, read_kind, select_files, unread_values
 from trackline.sources.schemas import HEADERS, SCHEMAS
 from trackline.sources.tables import write_json
 from trackline.session import remove_at_end, shared_dir
@@ -705,24 +705,32 @@ CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 CIRCUIT_FILES = {"north": "barber", "south": "cota"}
 
 
+def _write_race_files(table: DataFrame, kind: str, root: str, circuits: dict[str, str]) -> None:
+    """A table as race files in the catalogue's folders, with the files' own headers."""
+    files = race_files(root)
+    for circuit, folder in circuits.items():
+        for race in (1, 2):
+            (file,) = select_files(files, kind, [folder], [race])
+            part = table.where((F.col("circuit") == circuit) & (F.col("race_number") == race))
+            part.select(
+                *[F.col(c).alias(HEADERS.get(c, c)) for c in SCHEMAS[kind].names]
+            ).write.option("header", True).option(
+                "timestampFormat", CSV_TIME
+            ).csv(file.path)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return remove_at_end(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def _csv_read(
     kind: str, source: Callable[[Marts], DataFrame], circuits: dict[str, str] = CIRCUIT_FILES
 ) -> Callable[[Marts], DataFrame]:
     """Write a table as race files in the catalogue's folders, then read them as race files."""
 
     def run(m: Marts) -> DataFrame:
-        root = remove_at_end(m.spark, f"{shared_dir(m.spark)}/race-files-{uuid.uuid4().hex}")
-        table = source(m)
-        files = race_files(root)
-        for circuit, folder in circuits.items():
-            for race in (1, 2):
-                (file,) = select_files(files, kind, [folder], [race])
-                part = table.where((F.col("circuit") == circuit) & (F.col("race_number") == race))
-                part.select(
-                    *[F.col(c).alias(HEADERS.get(c, c)) for c in SCHEMAS[kind].names]
-                ).write.option("header", True).option(
-                    "timestampFormat", CSV_TIME
-                ).csv(file.path)
+        root = _scratch(m.spark, "race-files")
+        _write_race_files(source(m), kind, root, circuits)
         return read_kind(m.spark, kind, root, list(circuits.values()))
 
     return run
@@ -850,3 +858,116 @@ def _json_read(m: Marts) -> DataFrame:
 
 
 add("json_race_summary", _json_read, QUERIES["race_summary"].sql, "avg_speed")
+
+
+# The season file, values that cannot be read, and a refresh from race files to published views
+
+
+def _season(m: Marts) -> DataFrame:
+    """The season file has no race and no fixed columns, so all its columns stay text."""
+    root = _scratch(m.spark, "race-files")
+    (file,) = select_files(race_files(root), "drivers_championship")
+    standings = (
+        adapter.events(m.spark, m.sf_dir)
+        .groupBy((F.col("user_id") % 10).alias("NUMBER"))
+        .agg(F.count(F.lit(1)).alias("Points"), F.concat(F.lit("Driver, "), F.min("event_type")).alias(" Participant "))
+    )
+    standings.write.option("header", True).csv(file.path)
+    return read_kind(m.spark, "drivers_championship", root)
+
+
+add(
+    "csv_championship",
+    _season,
+    """SELECT CAST(user_id % 10 AS VARCHAR) AS "NUMBER", CAST(count(*) AS VARCHAR) AS "Points",
+ 'Driver, ' || min(event_type) AS "Participant", 'indianapolis' AS circuit, CAST(NULL AS BIGINT) AS race_number
+ FROM events GROUP BY user_id % 10""",
+)
+
+
+def _unread(m: Marts) -> DataFrame:
+    """Weather files with words and broken times among their numbers."""
+    root = _scratch(m.spark, "race-files")
+    table = m.weather()
+    odd = F.pmod(F.col("time_utc_seconds"), F.lit(9)) == 0
+    table = table.withColumns(
+        {
+            "humidity": F.when(odd, F.lit("wet")).otherwise(F.col("humidity").cast("string")),
+            "air_temp": F.when(odd, F.concat(F.col("race_number").cast("string"), F.lit(" F"))).otherwise(
+                F.col("air_temp").cast("string")
+            ),
+        }
+    )
+    _write_race_files(table, "weather", root, CIRCUIT_FILES)
+    return unread_values(read_kind(m.spark, "weather", root, list(CIRCUIT_FILES.values()), report=True))
+
+
+add(
+    "unread_values",
+    _unread,
+    f"""SELECT circuit, race_number, col AS "column", count(*) AS "values", min(col || '=' || val) AS example
+ FROM (SELECT {FOLDER}, race_number, unnest(['air_temp', 'humidity']) AS col,
+  unnest([CAST(race_number AS VARCHAR) || ' F', 'wet']) AS val
+  FROM readings WHERE time_utc_seconds % 9 = 0) GROUP BY ALL""",
+)
+
+
+def _refreshed(m: Marts) -> str:
+    """Race files of the given tables, refreshed twice into published tables; done once per session."""
+    if "refreshed" not in m.__dict__:
+        root, out = _scratch(m.spark, "race-files"), _scratch(m.spark, "published")
+        sources = {"telemetry_data": m.telemetry(), "weather": m.weather(),
+                   "best_laps": adapter.best_laps(m.spark, m.sf_dir)}
+        sources |= {kind: m.lap_events(kind) for kind in ("lap_start", "lap_end", "lap_time")}
+        for kind, table in sources.items():
+            _write_race_files(table, kind, root, CIRCUIT_FILES)
+        build.refresh(m.spark, root, out, list(CIRCUIT_FILES.values()))
+        m.__dict__["refreshed"] = out
+    return m.__dict__["refreshed"]
+
+
+def _published(m: Marts, sql: str) -> DataFrame:
+    """SQL over the views, as a user writes it."""
+    build.publish(m.spark, _refreshed(m))
+    return m.spark.sql(sql)
+
+
+add(
+    "published_lap_facts",
+    lambda m: _published(m, "SELECT * FROM fact_laps"),
+    f"SELECT * REPLACE ({FOLDER}) FROM lap_facts",
+)
+add(
+    "published_wind",
+    lambda m: _published(
+        m, "SELECT circuit, race_number, wind_direction_label, count(*) AS readings, max(wind_speed_mph) AS fastest"
+        " FROM fact_wind GROUP BY circuit, race_number, wind_direction_label"
+    ),
+    f"SELECT {FOLDER}, race_number, wind_direction_label, count(*) AS readings, max(wind_speed_mph) AS fastest"
+    " FROM wind GROUP BY ALL",
+)
+_VIEWS = {
+    "fact_speed": "(SELECT * FROM periods WHERE telemetry_name = 'speed')",
+    "fact_gear": "(SELECT * FROM periods WHERE telemetry_name = 'gear')",
+    "fact_acc": "acc_periods",
+    "fact_position": "position_periods",
+    "fact_telemetry_data": "timeline",
+    "viz_driver_consistency": "placed",
+    "int_laps_start": "starts",
+    "int_laps_end": "ends",
+    "int_weather_humidity": "(SELECT * FROM readings WHERE humidity IS NOT NULL)",
+    "int_telemetry_data_aps": "(SELECT * FROM tel WHERE telemetry_name = 'aps')",
+}
+add(
+    "published_views",
+    lambda m: _published(
+        m,
+        " UNION ALL ".join(
+            f"SELECT '{v}' AS view, circuit, race_number, count(*) AS n FROM {v} GROUP BY circuit, race_number"
+            for v in _VIEWS
+        ),
+    ),
+    " UNION ALL ".join(
+        f"SELECT '{v}' AS view, {FOLDER}, race_number, count(*) AS n FROM {t} GROUP BY ALL" for v, t in _VIEWS.items()
+    ),
+)
