@@ -96,6 +96,10 @@ class PieceTokenizer:
         return self.model.encode(texts, num_threads=1)
 
 
+def label_type(labels: int) -> str:
+    return "<u2" if labels <= 1 << 16 else "<u4"
+
+
 _LOADED: dict[tuple[str, str], tuple[ByteTokenizer, PieceTokenizer]] = {}
 
 
@@ -112,10 +116,11 @@ def id_type(ids: int) -> str:
 
 
 class Alignment:
-    """Tokens a and b of the same bytes: their groups and the pairs that overlap.
+    """Tokens a and b of the same bytes: the pairs that overlap, in order, and their groups.
 
-    ``group_a`` and ``group_b`` number the group of every token, ``pair_a`` and ``pair_b`` are
-    the places of the two tokens of every link, ``last`` marks links that end a group.
+    ``pair_a`` and ``pair_b`` are the places of the two tokens of every link, ``ends_a`` marks the
+    last link of every token a, ``last`` the last link of every group. A link ends a token b if it
+    ends a group or no token a.
     """
 
     def __init__(self, size_a: np.ndarray, size_b: np.ndarray) -> None:
@@ -124,21 +129,36 @@ class Alignment:
         marks = np.zeros((2, int(end_a[-1]) + 1), dtype=bool)
         marks[0, end_a] = marks[1, end_b] = True
         ends = np.flatnonzero(marks[0] | marks[1])
-        in_a, in_b = marks[0, ends], marks[1, ends]
+        self.ends_a, ends_b = marks[0, ends], marks[1, ends]
         # A link ends where a token of either side ends, and holds the tokens that are open there.
-        self.pair_a, self.pair_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
-        self.last = in_a & in_b
+        self.pair_a, self.pair_b = np.cumsum(self.ends_a) - self.ends_a, np.cumsum(ends_b) - ends_b
         # Every token points to the one that overlaps it and ends last. Where none ends behind it,
         # a points to itself, and b to the a that ends with it.
-        points = np.concatenate([np.arange(n), self.pair_a[in_b]])
-        points[:n] = np.where(self.last[in_a], points[:n], self.pair_b[in_a] + n)
+        points = np.concatenate([np.arange(n), self.pair_a[ends_b]])
+        points[:n] = np.where(ends_b[self.ends_a], points[:n], self.pair_b[self.ends_a] + n)
         while True:
             further = points[points]
             if np.array_equal(further, points):
                 break
             points = further
-        number = np.cumsum(points[:n] == np.arange(n)) - 1
-        self.group_a, self.group_b = number[points[:n]], number[points[n:]]
+        group = points[self.pair_a]
+        self.last = np.append(group[1:] != group[:-1], True)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers, or bits, in few bytes: all first bytes, then all second bytes, compressed."""
+    if values.dtype == bool:
+        return zstandard.compress(np.packbits(values).tobytes(), 1)
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes(), 1)
+
+
+def unpacked_bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(raw), dtype=np.uint8), count=n).astype(bool)
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class GroupText:
@@ -168,8 +188,8 @@ def align(
     both end cut the tokens into groups. Every token points to its farthest-right overlapping
     token, and doubling of the pointers leads all tokens of a group to its terminal token.
 
-    Texts are encoded once, in blocks of bounded size whose ids are kept, compressed, as a table with the
-    distinct id pairs of a block and how many links hold them. Sums over the corpus are plain
+    Texts are encoded once, in blocks of bounded size. A block is kept as the list of its distinct
+    id pairs, how many links hold each, and the number of the pair of every link, compressed. Sums over the corpus are plain
     aggregations of those; each block then gets back the sums of its own pairs by a join, so no
     table of all pairs goes through the driver or one task, and a pair that stands in every block
     brings one row a block.
@@ -192,10 +212,11 @@ def align(
             T.StructField("keys", T.ArrayType(kind)),
             T.StructField("n_a", T.ArrayType(T.LongType())),
             T.StructField("n_b", T.ArrayType(T.LongType())),
-            T.StructField("a", T.BinaryType()),
-            T.StructField("b", T.BinaryType()),
             T.StructField("codes", T.ArrayType(T.LongType())),
             T.StructField("links", T.ArrayType(T.LongType())),
+            T.StructField("labels", T.BinaryType()),
+            T.StructField("ends_a", T.BinaryType()),
+            T.StructField("last", T.BinaryType()),
         ]
     )
     result = T.StructType(
@@ -217,15 +238,21 @@ def align(
         def close() -> pa.RecordBatch:
             a, b = np.concatenate(ids_a), np.concatenate(ids_b)
             codes = links = np.zeros(0, dtype=np.int64)
+            labels, ends_a, last = np.zeros(0, dtype=label_type(0)), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
             if len(a):
                 found = Alignment(size_a[a], size_b[b])
                 pairs = a[found.pair_a].astype(np.int64) * len(size_b) + b[found.pair_b]
-                codes, links = np.unique(pairs, return_counts=True)
-            row = [pa.array([block])]
-            row.append(one_list(pa.concat_arrays(keys)))
+                codes, place, links = np.unique(pairs, return_inverse=True, return_counts=True)
+                # Frequent pairs get small numbers, which take few bytes.
+                order = np.argsort(-links, kind="stable")
+                number = np.empty(len(order), dtype=label_type(len(codes)))
+                number[order] = np.arange(len(order))
+                codes, links, labels = codes[order], links[order], number[place]
+                ends_a, last = found.ends_a, found.last
+            row = [pa.array([block]), one_list(pa.concat_arrays(keys))]
             row += [one_list(pa.array([len(i) for i in x], type=pa.int64())) for x in (ids_a, ids_b)]
-            row += [pa.array([zstandard.compress(x.tobytes(), 1)], type=pa.binary()) for x in (a, b)]
             row += [one_list(pa.array(x, type=pa.int64())) for x in (codes, links)]
+            row += [pa.array([packed(x)], type=pa.binary()) for x in (labels, ends_a, last)]
             return pa.RecordBatch.from_arrays(row, names=by_block.names)
 
         held = 0
@@ -250,28 +277,30 @@ def align(
             yield close()
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        row = {c: table.column(c)[0] for c in ("keys", "n_a", "n_b", "a", "b")}
-        n_a, n_b = (row[c].values.to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-        a, b = (
-            np.frombuffer(zstandard.decompress(row[c].as_py()), dtype=kind_)
-            for c, kind_ in zip("ab", kinds)
+        row = {c: table.column(c)[0] for c in table.column_names}
+        n_a, n_b, codes, links = (
+            row[c].values.to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "codes", "links")
         )
         zeros = [0] * len(n_a)
         columns, texts = [n_a, n_b, zeros, zeros, zeros, zeros], [""] * len(n_a)
-        if len(a):
-            found = Alignment(size_a[a], size_b[b])
+        if len(codes):
+            label = unpacked(row["labels"].as_py(), label_type(len(codes)))
+            ends_a, last = (unpacked_bits(row[c].as_py(), len(label)) for c in ("ends_a", "last"))
             code, total, best = (
                 answers.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("code", "total", "best")
             )
             order = np.argsort(code)
-            pairs = a[found.pair_a].astype(np.int64) * len(size_b) + b[found.pair_b]
-            at = order[np.searchsorted(code, pairs, sorter=order)]
-            doc = np.repeat(np.arange(len(n_a)), n_a)[found.pair_a]
-            edges = np.searchsorted(doc, np.arange(len(n_a) + 1))
-            sums = [np.append(0, np.cumsum(x, dtype=np.int64))[edges] for x in (found.last, best[at], total[at])]
+            at = order[np.searchsorted(code, codes, sorter=order)]
+            total, best = total[at][label], best[at][label]
+            stops = np.append(0, np.flatnonzero(ends_a) + 1)
+            edges = stops[np.append(0, np.cumsum(n_a))]
+            sums = [np.append(0, np.cumsum(x, dtype=np.int64))[edges] for x in (last, best, total)]
             groups, n_best, counts = map(np.diff, sums)
             columns = [n_a, n_b, groups, np.diff(edges), n_best, counts]
-            shown = group_text(max(len(size_a), len(size_b))).parts(a, b, found.group_a, found.group_b)
+            group = np.cumsum(last) - last
+            of_a, of_b = np.flatnonzero(ends_a), np.flatnonzero(last | ~ends_a)
+            ids_a, ids_b = codes[label[of_a]] // len(size_b), codes[label[of_b]] % len(size_b)
+            shown = group_text(max(len(size_a), len(size_b))).parts(ids_a, ids_b, group[of_a], group[of_b])
             stops = np.cumsum(n_a + n_b).tolist()
             texts = ["".join(shown[lo:hi])[1:] for lo, hi in zip([0, *stops], stops)]
         return pa.table(
@@ -289,8 +318,7 @@ def align(
     ranked = counts.join(most, "second").select("code", "total", (F.col("total") == F.col("most")).alias("best"))
     answers = pairs.select("at", "code").join(ranked, "code")
     return (
-        tokens.select("block", "keys", "n_a", "n_b", "a", "b")
-        .groupBy("block")
+        tokens.groupBy("block")
         .cogroup(answers.groupBy("at"))
         .applyInArrow(finish, result)
     )
