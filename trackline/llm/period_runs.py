@@ -51,11 +51,11 @@ class SuffixRanks:
     """Suffixes of several documents, ranked by ever longer beginnings; documents share none.
 
     ``words`` holds the documents' word numbers one after another, ``doc`` the document of each
-    word. Only suffixes whose beginning occurs again in their document are ranked further: no
-    other suffix can belong to an interval.
+    word. Only suffixes whose first words, at most ``shallow``, occur again in their document are
+    ranked further: no other suffix belongs to an interval of so many common words.
     """
 
-    def __init__(self, words: np.ndarray, doc: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, doc: np.ndarray, shallow: int) -> None:
         n = len(words)
         bits = max(int(words.max()).bit_length(), 1)
         own, _ = dense((doc << bits) | words)
@@ -70,7 +70,7 @@ class SuffixRanks:
         first[empty] = np.arange(int(empty.sum()))
         self.levels: list[tuple[int, np.ndarray]] = [(1, first)]
         size = int(first.max()).bit_length()
-        step = 3 if size * 3 <= 63 else 2
+        step = min(3 if size * 3 <= 63 else 2, shallow)
         key = first.copy()
         for k in range(1, step):
             key = (key << size) | np.append(first[k:], np.zeros(k, dtype=np.int64))
@@ -167,14 +167,14 @@ def runs_of(
     if not len(words):
         return none, none, none, none
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    ranks = SuffixRanks(words, doc)
+    # No run has fewer words in common with itself, one period on.
+    shallow = min(max((periods - 1) * gap, least - gap) for gap in range(1, least + 1))
+    ranks = SuffixRanks(words, doc, shallow)
     order = ranks.repeated[np.argsort(ranks.rank[ranks.repeated])]
     if not len(order):
         return none, none, none, none
     shared = np.append(0, ranks.common(order[:-1], order[1:]))
-    # No run has fewer words in common with itself, one period on.
-    shallow = min(max((periods - 1) * gap, least - gap) for gap in range(1, least + 1))
-    shared[shared < max(shallow, 1)] = 0
+    shared[shared < shallow] = 0
     used = (shared > 0) | (np.append(shared[1:], 0) > 0)
     left = np.append(-1, ranks.levels[0][1][:-1])
     spots = order[used]
