@@ -61,6 +61,44 @@ def test_extract_keeps_what_stands_beside_the_largest_part(spark):
         assert "Other long words" not in r.text and "cookies" not in r.text
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<body><form id='aspnetForm'><div><h1>T</h1><p>Body text here.</p></div></form></body>", "T\n\nBody text here."),
+        ('<div id="page" class="sidebar-right"><p>Text.</p></div>', "Text."),
+        ('<div class="ad-free-layout"><p>Text.</p></div>', "Text."),
+        ('<article class="post-search-engine"><p>Text.</p></article>', "Text."),
+        ('<main><h1>A</h1><div class="social-science"><p>Essay.</p></div></main>', "A\n\nEssay."),
+        ("<article><p>Prose.</p><section id='reply-to-critics'><p>More.</p></section></article>", "Prose.\n\nMore."),
+        ('<p>One <strong class="alert">two</strong> three.</p>', "One two three."),
+        ('<article><p>Prose.</p><div><span class="share">Share</span></div></article>', "Prose."),
+        ('<p>One <span style="display: none">two</span> three.</p>', "One three."),
+        ("<article><p>Short.</p></article><div class='comments'><p>" + "A reader. " * 90 + "</p></div>", "Short."),
+        ("<article><p>Short.</p></article><div class='site-footer-inner'><p>Us.</p></div>", "Short."),
+        ("<div class=t><h1>Title</h1></div><div class=x><p>" + "On and on. " * 9 + "</p></div>", "Title\n\n" + ("On and on. " * 9).strip()),
+        ("<article><p>" + "On and on. " * 50 + "</p></article><div><p>Most read today</p></div>", ("On and on. " * 50).strip()),
+    ],
+)
+def test_names_and_wrappers(source, text):
+    found = html_text.parse(source)
+    best = max(html_text.candidates(found), key=lambda c: c[1])[0]
+    assert html_text.text_of(found, best) == text
+
+
+def test_host_votes_change_a_text(spark):
+    """A page whose box is longer than its article is read as the other pages of its host are."""
+    def built(article, box):
+        return f"<body><div class='post'><p>{article}</p></div><div class='box'><p>{box}</p></div></body>"
+
+    rows = [(i, "https://h.example/", built("Article of its own, told at length. " * 30 + str(i), "Most read.")) for i in range(6)]
+    odd = built("A short article of fifty words or so. " * 6, "Stories that others read, one after the other. " * 3)
+    rows += [(7, "https://h.example/odd", odd), (8, "https://other.example/odd", odd)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "Stories" not in found[7] and found[7].startswith("A short article")
+    assert "Stories" in found[8] and found[8].startswith("A short article")
+    assert all("Most read" not in found[i] for i in range(6))
+
+
 def test_linked_blocks_of_an_article_stay():
     linked = "<a href=x>{}</a>"
     main = (

@@ -20,9 +20,11 @@ BLOCKS = frozenset(
 )
 #: Elements that are never part of an article.
 OUTSIDE = frozenset(
-    "head nav header footer aside form noscript template svg math object video audio canvas select button "
+    "head nav header footer aside noscript template svg math object video audio canvas select button "
     "fieldset menu dialog map datalist".split()
 )
+#: Elements that surround articles unless they hold the page.
+SOFT = frozenset(["form"])
 #: Elements whose content is no markup; it is skipped up to their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Blocks that a new block of the same family closes.
@@ -40,8 +42,28 @@ MARKERS = frozenset(
     "recommendations comment comments commentlist respond reply replies responses disqus discussion form search login "
     "pagination pager toolbar skip topbar header".split()
 )
+#: Parts that may follow a marker in a name; after any other word the marker says what a text is about.
+ENDINGS = frozenset(
+    "left right top bottom middle main primary secondary first second box bar block list lists wrapper wrap container "
+    "area section content contents inner outer item items link links button buttons icon icons panel unit slot title "
+    "heading label text body row column col group holder zone region module posts post articles stories news topics "
+    "thread author meta count desktop mobile fixed sticky small large tabs tab".split()
+)
+#: Markers of what readers write; an element that has one is never the page itself.
+READERS = ("comment", "repl", "respond", "disqus", "discussion", "talkback")
+#: A marked element that holds this share of the prose of a page surrounds the page, not something beside it.
+WHOLE = 0.9
 #: Beginnings of such parts, whatever follows.
 STARTS = ("comment", "advert", "sidebar", "breadcrumb", "newsletter", "cookie", "navbar", "talkback", "adbox", "adslot", "adunit")
+#: How much likelier an element of these kinds holds the article.
+LIKELY = {"article": 1.1, "main": 1.05}
+#: How likely a container is whose prose lies in several others, against one whose prose does not.
+SPREAD = 0.9
+#: Of containers with the same text the innermost counts a little more.
+DEEPER = 0.0005
+#: Containers of a lower score are not proposed.
+LEAST_SCORE = 0.5
+TITLES = frozenset("h1 h2".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Roles of the same.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -55,10 +77,14 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 @dataclass
 class Page:
-    """Containers (parent, label) and the blocks (container, element, text, characters in links) of a page."""
+    """Containers (parent, label, mark) and the blocks (container, element, text, characters in links) of a page.
+
+    A mark is 0, 1 for a container that surrounds articles by its name, and 2 for one of readers' texts.
+    """
 
     parents: list[int] = field(default_factory=lambda: [-1])
     labels: list[str] = field(default_factory=lambda: [""])
+    marks: list[int] = field(default_factory=lambda: [0])
     blocks: list[tuple[int, str, str, int]] = field(default_factory=list)
 
     def path(self, at: int) -> str:
@@ -78,23 +104,35 @@ def parts(name: str) -> list[str]:
 
 
 def is_outside(tag: str, given: dict[str, str], in_article: bool) -> bool:
-    """Whether an element surrounds articles, by its tag, role, class or id."""
+    """Whether an element is never part of an article, by its tag or role, or is not shown."""
     if tag in ("html", "body", "main"):
         return False
     if tag in OUTSIDE and not (tag == "header" and in_article):
         return True
     if given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true":
         return True
-    if "display:none" in given.get("style", "").lower().replace(" ", ""):
-        return True
+    return "display:none" in given.get("style", "").lower().replace(" ", "")
+
+
+def mark_of(tag: str, given: dict[str, str], in_article: bool) -> int:
+    """Whether the names of an element say that it surrounds articles (1) or holds readers' texts (2).
+
+    A marker counts as the end of a name, or before words of place and form: ``site-footer`` and
+    ``sidebar-right`` are marked, ``social-science`` is not.
+    """
+    if tag in ("html", "body", "main"):
+        return 0
+    found = int(tag in SOFT)
     for name in (*given.get("class", "").split(), given.get("id", "")):
-        before = ""
-        for part in parts(name):
-            marked = part in MARKERS or part.startswith(STARTS)
-            if marked and before not in QUALIFIERS and not (part == "header" and in_article):
-                return True
-            before = part
-    return False
+        words = parts(name)
+        closed = True
+        for at in range(len(words) - 1, -1, -1):
+            part = words[at]
+            marker = part in MARKERS or part.startswith(STARTS)
+            if closed and marker and not (at and words[at - 1] in QUALIFIERS) and not (part == "header" and in_article):
+                found = max(found, 2 if part.startswith(READERS) else 1)
+            closed = closed and (marker or part in ENDINGS or part.isdigit())
+    return found
 
 
 def label(tag: str, given: dict[str, str]) -> str:
@@ -110,16 +148,16 @@ def parse(source: str) -> Page:
     # lies in an article.
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
     words: list[str] = []
-    linked, links = 0, 0
+    linked, links, plain = 0, 0, False
     element = ""
 
     def close_block() -> None:
-        nonlocal linked
+        nonlocal linked, plain
         text = " ".join("".join(words).split())
-        if text:
+        if text and plain:  # a block of nothing but marked inline elements is a button or a label
             page.blocks.append((stack[-1][1], element, text, min(linked, len(text))))
         words.clear()
-        linked = 0
+        linked, plain = 0, False
 
     def pop_to(depth: int) -> None:
         nonlocal element
@@ -138,6 +176,7 @@ def parse(source: str) -> Page:
         if stop > position and not stack[-1][2]:
             text = html.unescape(source[position:stop])
             words.append(text)
+            plain = plain or not text.isspace()
             if links:
                 linked += len(text.strip())
         position = stop
@@ -156,7 +195,7 @@ def parse(source: str) -> Page:
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, position)
                 position = source.find(">", end.start()) + 1 if end else size
                 position = position or size
-        elif tag in CONTAINERS or tag in BLOCKS or tag in OUTSIDE:
+        elif tag in CONTAINERS or tag in BLOCKS or tag in OUTSIDE or tag in SOFT:
             if token[1]:
                 depth = len(stack) - 1
                 while depth > 0 and stack[depth][0] != tag and not (tag in BLOCKS and stack[depth][0] in FENCES):
@@ -189,24 +228,51 @@ def parse(source: str) -> Page:
                 outside = 0
             elif outside == 0 and tag == "header":  # of an article: its title, not its lines
                 outside = 2
-            if tag in CONTAINERS and not outside:
+            mark = mark_of(tag, given, in_article) if given or tag in SOFT else 0
+            if (tag in CONTAINERS or mark) and not outside:
                 page.parents.append(container)
                 page.labels.append(label(tag, given))
+                page.marks.append(mark)
                 container = len(page.parents) - 1
-            if not token[3].endswith("/") or tag in CONTAINERS:
+            if not token[3].endswith("/") or tag in CONTAINERS or tag in SOFT:
                 stack.append((tag, container, outside, in_article or tag in ("article", "main")))
                 element = tag
-        elif given_outside(token, stack[-1][3]):
-            # An inline element that is hidden or marked: what it holds up to its end tag is skipped.
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, position)
-            if end and not token[1]:
-                position = end.end()
+        elif token[3] and not token[1] and "=" in token[3]:
+            # An inline element that is hidden is skipped; one that is marked stays if its block has other text.
+            given = attributes(token[3])
+            hidden = is_outside("", given, stack[-1][3])
+            if hidden or mark_of("", given, stack[-1][3]):
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, position)
+                if end:
+                    inner = source[position : end.start()]
+                    if not hidden and not stack[-1][2] and not holds_blocks(inner):
+                        words.append(html.unescape(TOKEN.sub("", inner)))
+                    position = end.end()
     close_block()
-    return page
+    return without_marked(page)
+
+
+def holds_blocks(source: str) -> bool:
+    return any(m[2] and (m[2].lower() in CONTAINERS or m[2].lower() in BLOCKS) for m in TOKEN.finditer(source))
 
 
-def given_outside(token: re.Match, in_article: bool) -> bool:
-    return bool(token[3]) and not token[1] and "=" in token[3] and is_outside("", attributes(token[3]), in_article)
+def without_marked(page: Page) -> Page:
+    """The page without the blocks of marked containers, but for those that hold almost all of it."""
+    if not any(page.marks):
+        return page
+    held = [0] * len(page.parents)
+    for block in page.blocks:
+        held[block[0]] += 0 if is_linked(block) else len(block[2])
+    for at in range(len(page.parents) - 1, 0, -1):
+        held[page.parents[at]] += held[at]
+    gone = [False] * len(page.parents)
+    for at in range(1, len(page.parents)):
+        mark = page.marks[at]
+        gone[at] = gone[page.parents[at]] or mark == 2 or (mark == 1 and held[at] < WHOLE * held[0])
+        if mark == 1 and not held[0]:
+            gone[at] = True
+    page.blocks = [b for b in page.blocks if not gone[b[0]]]
+    return page
 
 
 def is_linked(block: tuple[int, str, str, int]) -> bool:
@@ -215,55 +281,96 @@ def is_linked(block: tuple[int, str, str, int]) -> bool:
     return linked * 2 > len(text) and element not in ("p", "pre", *HEADINGS)
 
 
+def prose_of(page: Page) -> list[int]:
+    """Characters of prose of every block; blocks of links count only inside an article or main element."""
+    within = [False] * len(page.parents)
+    for at in range(1, len(page.parents)):
+        within[at] = within[page.parents[at]] or page.labels[at].split(".")[0] in ("article", "main")
+    return [len(b[2]) if within[b[0]] or not is_linked(b) else 0 for b in page.blocks]
+
+
 def candidates(page: Page) -> list[tuple[str, float]]:
-    """Paths of containers that may hold the article, with scores from 0 to 1.
+    """Paths of containers that may hold the article, with scores from 0 to about 1.
 
-    From the root, the way goes down while one child holds all blocks. Blocks of links count only
-    inside an article or main element. The container at the end of the way scores 1; the ones above
-    are proposed with a score of 0 and win where other pages of the host end there. All of them
-    hold all text, so no choice loses any.
+    A score is the share of the prose of the page, times the share of prose in the text of the
+    containers, so menus that nobody marked count against them. Containers whose prose lies in
+    several others are less likely to be the article than one of those, unless they are an article
+    element; article and main elements are likelier than others. Paths that score less than half
+    are not proposed. Containers of one path count together.
     """
-    if all(b[3] * 2 > len(b[2]) for b in page.blocks):
+    prose = prose_of(page)
+    whole = sum(prose)
+    if not whole or all(b[3] * 2 > len(b[2]) for b in page.blocks):
         return []
-    within = [False] * len(page.parents)
-    for at in range(1, len(page.parents)):
-        within[at] = within[page.parents[at]] or page.labels[at].split(".")[0] in ("article", "main")
-    held = [0] * len(page.parents)
-    for block in page.blocks:
-        held[block[0]] += within[block[0]] or not is_linked(block)
-    for at in range(len(page.parents) - 1, 0, -1):
-        held[page.parents[at]] += held[at]
-    # A child that holds all has no sibling that holds anything, so the way down is in page order.
-    way = [0]
-    for at in range(1, len(page.parents)):
-        if page.parents[at] == way[-1] and held[at] == held[0]:
-            way.append(at)
-    return [(page.path(at), float(not up)) for up, at in enumerate(reversed(way))]
+    held, size = [0] * len(page.parents), [0] * len(page.parents)
+    for block, n in zip(page.blocks, prose):
+        held[block[0]] += n
+        size[block[0]] += len(block[2])
+    # A container around one that is spread is spread as well.
+    inner = [0] * len(page.parents)
+    spread = [False] * len(page.parents)
+    for at in range(len(page.parents) - 1, -1, -1):
+        spread[at] = (spread[at] or inner[at] > 1) and page.labels[at].split(".")[0] != "article"
+        if at:
+            up = page.parents[at]
+            held[up] += held[at]
+            size[up] += size[at]
+            inner[up] += held[at] > 0
+            spread[up] |= spread[at]
+    paths: dict[str, list] = {}
+    for at in range(len(page.parents)):
+        if held[at]:
+            weight = LIKELY.get(page.labels[at].split(".")[0], 1.0) * (SPREAD if spread[at] else 1.0)
+            found = paths.setdefault(page.path(at), [0, 0, weight])
+            found[0] += held[at]
+            found[1] += size[at]
+            found[2] = min(found[2], weight)
+    scores = [
+        (path, n / whole * n / text * weight * (1 + DEEPER * path.count(">"))) for path, (n, text, weight) in paths.items()
+    ]
+    return [(path, score) for path, score in scores if score >= LEAST_SCORE]
 
 
 def text_of(page: Page, path: str | None) -> str:
-    """The blocks of all containers with the path, in page order."""
+    """The blocks of all containers with the path, and prose that stands in the containers around them.
+
+    A title or lead beside the container of the text, and headings before it, belong to the article.
+    """
     if path is None:
         return ""
     inside = [False] * len(page.parents)
+    around = [False] * len(page.parents)
     for at in range(len(page.parents)):
         inside[at] = (at > 0 and inside[page.parents[at]]) or page.path(at) == path
-    return "\n\n".join(text for container, _, text, _ in page.blocks if inside[container])
+    for at in range(len(page.parents) - 1, 0, -1):
+        around[page.parents[at]] |= inside[at] or around[at]
+    kept, begun = [], False
+    for block in page.blocks:
+        container, element, text, _ = block
+        begun = begun or inside[container]
+        title = not begun and element in TITLES and not is_linked(block)
+        if inside[container] or title or (around[container] and not is_linked(block)):
+            kept.append(text)
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """The main text of every page.
 
-    First every page scores the containers that hold all of its text. Scores are summed per host and generalised path
-    (tags and classes from the root, digits levelled), which is a count per key and no group that
-    must fit into one task. Then each page takes, among the containers it proposed, the path that
-    its host's pages voted for most (of equals the first in code points), and its text is
-    extracted again from all containers with that path.
+    First every page scores its containers by their share of its prose and how little else they
+    hold. Scores are summed per host and generalised path (tags and classes from the root, digits
+    levelled), which is a count per key and no group that must fit into one task. Then each page
+    takes, among the paths it proposed, the one that its host's pages voted for most (of equals the
+    first in code points), and its text is extracted again from all containers with that path, with
+    titles and prose that stand around them. So a box beside the article that no name marks goes
+    where the host's pages agree on the article.
 
     Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out by
-    tag, role, class and id; in the chosen container nothing else is, also no lists or tables of
-    links. Blocks are joined by two line feeds; white space in a block is one space. Returns the key, the url, ``text``, ``n_chars`` and ``path``. Null and empty pages, and
-    pages without text of their own, have an empty text and a null path. A null url is a host of its own.
+    tag, role, class and id, unless a marked element holds almost all prose of the page; in the
+    chosen container nothing else is, also no lists or tables of links. Blocks are joined by two
+    line feeds; white space in a block is one space. Returns the key, the url, ``text``,
+    ``n_chars`` and ``path``. Null and empty pages, and pages without text of their own, have an
+    empty text and a null path. A null url is a host of its own.
     Repeated rows vote each and give a row each. An empty table gives no rows. Other columns are
     not read. ``pages`` is read twice and has to give its rows in the same order, as stored tables do.
     """
