@@ -206,3 +206,21 @@ def test_running_sums_of_doubles_are_exact(spark):
     for x, (upto, everything) in zip(steps, found.pop()):
         total += Fraction(x)
         assert math.isclose(upto, float(total), rel_tol=1e-15, abs_tol=1e-15) and math.isclose(everything, whole, rel_tol=1e-15)
+
+
+def test_ranges_keep_their_bound(spark):
+    """With a sample of one row a partition, bounds of ranges are bad; chunks are not."""
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "1")
+    try:
+        rows = [("k" if i % 3 else None, i % 5, i, float(i), None, i) for i in range(600)]
+        df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+        cut = S.split_by_range(df, SERIES, 50)
+        sizes = sorted(r["count"] for r in cut.groupBy(S.CHUNK).count().collect())
+        assert sizes[-1] == 50 and sum(sizes) == 600 and len(sizes) >= 12
+        numbered = S.unsplit(S.number_rows(cut, SERIES, "n")).collect()
+        for key in ("k", None):
+            mine = sorted((r.n, r.t, r.tie) for r in numbered if r.k == key)
+            assert [m[0] for m in mine] == list(range(1, len(mine) + 1))
+            assert [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")

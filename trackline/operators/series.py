@@ -9,7 +9,7 @@ first cut along its own order into chunks. Each operator then works in three ste
 3. a join of the summaries back on (chunk, series), for which the rows stay where they are.
 
 ``split`` chooses the cut: fixed slots of the order column when a count shows that no slot is
-too full, else ranges of the complete sort key, frozen with a reliable checkpoint.
+too full, else counted ranges of the complete sort key, frozen with a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -137,17 +137,23 @@ def split(
 def split_by_range(
     df: DataFrame, series: Series, max_rows: int = MAX_CHUNK_ROWS, total: int | None = None
 ) -> DataFrame:
-    """Cut into evenly filled ranges of (series, order); ``total`` is the row count where it is known.
+    """Cut into ranges of (series, order) of at most ``max_rows`` rows; ``total`` is the row count where it is known.
 
-    Range bounds come from a sample, so a range can be fuller than ``max_rows``, and chunk numbers
-    are only fixed once the rows are stored: the reliable checkpoint makes them survive a lost
-    executor.
+    Bounds of partitions come from a sample and can be uneven, so each partition is sorted, which
+    may spill, and its rows are numbered in that order; a chunk is the next ``max_rows`` of them.
+    Chunk numbers are only fixed once the rows are stored: the reliable checkpoint makes them
+    survive a lost executor.
     """
     shared_dir(df.sparkSession)
     n = max(1, math.ceil((df.count() if total is None else total) / max_rows))
     keyed = df.withColumn(KEY, F.struct(*series.keys))
     ranged = keyed.repartitionByRange(n, F.col(KEY), *series.ordering())
-    return ranged.withColumn(CHUNK, F.spark_partition_id().cast("bigint")).checkpoint()
+    ordered = ranged.sortWithinPartitions(F.col(KEY), *series.ordering())
+    # The number of a row: its partition in the upper bits, its place there in the lower ones.
+    number = F.monotonically_increasing_id()
+    place = number.bitwiseAND(F.lit((1 << 33) - 1))
+    chunk = F.shiftleft(F.shiftright(number, 33), 33) + F.floor(place / max_rows).cast("bigint")
+    return ordered.withColumn(CHUNK, chunk).checkpoint()
 
 
 def fixed_chunk(df: DataFrame, series: Series, chunk: Column) -> DataFrame:
