@@ -629,7 +629,7 @@ def _braking(m: Marts) -> DataFrame:
 
 
 TRACK_SQL = (
-    "SELECT vbox_long_minutes, vbox_lat_minutes, speed, vehicle_id, lap, event_timestamp,"
+    "SELECT circuit, race_number, vehicle_id, lap, vbox_long_minutes, vbox_lat_minutes, speed, event_timestamp,"
     f" event_source FROM timeline WHERE circuit = 'north' AND lap = 3 AND {O.COORDS}"
     " AND vehicle_id IN (SELECT DISTINCT vehicle_id FROM timeline WHERE circuit = 'north'"
     " ORDER BY vehicle_id LIMIT 3)"

@@ -397,6 +397,13 @@ def test_cumulative_distance_restarts_per_vehicle(spark, slots):
     assert got == [(v, 60.0 * i) for v in ("V1", "V2") for i in range(8)]
 
 
+def test_drives_of_two_races_are_two_tracks(spark):
+    one = points(spark, [1.0] * 4).withColumns({"circuit": F.lit("c"), "race_number": F.lit(1), "lap": F.lit(3)})
+    two = one.withColumn("race_number", F.lit(2))
+    got = pages.cumulative_distance(one.unionByName(two)).collect()
+    assert sorted((r.race_number, r.distance) for r in got) == [(n, 60.0 * i) for n in (1, 2) for i in range(4)]
+
+
 def test_vehicle_statistics_ignore_missing_speed(spark):
     row = pages.vehicle_statistics(points(spark, [10.0, None, 20.0])).first()
     assert (row.avg_speed, row.min_speed, row.data_points) == (15.0, 10.0, 3)

@@ -61,33 +61,35 @@ def first_vehicles(table: DataFrame, filters: Filters = None, count: int = 3) ->
 # Overview
 
 
+def _kinds(column: str) -> Column:
+    """Number of distinct values, as the size of their set; for columns of few values.
+
+    Several distinct counts in one aggregation would copy every row for each of them.
+    """
+    return F.size(F.collect_set(column)).cast("bigint")
+
+
 def overview_counts(timeline: DataFrame) -> DataFrame:
     """Numbers of races, vehicles and circuits, counted on their distinct combinations."""
     names = ["race_number", "vehicle_id", "circuit"]
     found = timeline.where(F.col("race_number").isNotNull()).select(*names).distinct()
     return found.agg(
-        F.countDistinct("race_number").alias("total_races"),
-        F.countDistinct("vehicle_id").alias("total_vehicles"),
-        F.countDistinct("circuit").alias("total_circuits"),
+        _kinds("race_number").alias("total_races"),
+        _kinds("vehicle_id").alias("total_vehicles"),
+        _kinds("circuit").alias("total_circuits"),
     )
 
 
 def race_summary(timeline: DataFrame, rows: int | None = None) -> DataFrame:
-    """Vehicles, laps and mean speed per race, newest race first.
-
-    Rows are summed per vehicle and lap first: two distinct counts over the rows themselves would
-    copy each row three times.
-    """
-    race = ["circuit", "race_number"]
-    per_lap = (
+    """Vehicles, laps and mean speed per race, newest race first, from one aggregation."""
+    summary = (
         timeline.where(F.col("race_number").isNotNull() & F.col("speed").isNotNull())
-        .groupBy(*race, "vehicle_id", "lap")
-        .agg(F.sum("speed").alias("_sum"), F.count("speed").alias("_n"))
-    )
-    summary = per_lap.groupBy(*race).agg(
-        F.countDistinct("vehicle_id").alias("vehicle_count"),
-        F.countDistinct("lap").alias("total_laps"),
-        (F.sum("_sum") / F.sum("_n")).alias("avg_speed"),
+        .groupBy("circuit", "race_number")
+        .agg(
+            _kinds("vehicle_id").alias("vehicle_count"),
+            _kinds("lap").alias("total_laps"),
+            F.avg("speed").alias("avg_speed"),
+        )
     )
     return _top(summary, [*_desc("race_number"), *_asc("circuit")], rows)
 
@@ -322,7 +324,13 @@ def best_lap_per_driver(laps: DataFrame, filters: Filters = None) -> DataFrame:
 # Track map page
 
 
-VEHICLE_TRACK = Series(("vehicle_id",), ("event_timestamp", "event_source"))
+#: What tells one drive from another, as far as points have it.
+DRIVE = ("circuit", "race_number", "vehicle_id", "lap")
+
+
+def _drive(points: DataFrame) -> Series:
+    """One track for each lap of a vehicle in a race; points without these columns are one drive a vehicle."""
+    return Series(tuple(c for c in DRIVE if c in points.columns), ("event_timestamp", "event_source"))
 
 
 def track_points(
@@ -341,7 +349,7 @@ def track_points(
         & F.col("vehicle_id").isin(*vehicles)
         & F.col("vbox_long_minutes").isNotNull()
         & F.col("vbox_lat_minutes").isNotNull()
-    ).select("vbox_long_minutes", "vbox_lat_minutes", "speed", "vehicle_id", "lap",
+    ).select("circuit", "race_number", "vehicle_id", "lap", "vbox_long_minutes", "vbox_lat_minutes", "speed",
              "event_timestamp", "event_source")
 
 
@@ -355,12 +363,13 @@ def points_per_vehicle(points: DataFrame, vehicles: Sequence[str] | None = None)
 
 
 def cumulative_distance(
-    points: DataFrame, slots: Sequence[float] = TIME_SLOTS, series: Series = VEHICLE_TRACK
+    points: DataFrame, slots: Sequence[float] = TIME_SLOTS, series: Series | None = None
 ) -> DataFrame:
-    """Distance driven by each vehicle up to each point.
+    """Distance driven up to each point of each drive: a lap of a vehicle in a race, if no series is given.
 
     Unit: sixtieths of the coordinate unit, straight lines between points, not metres.
     """
+    series = series or _drive(points)
     rows = shift(
         split(points, series, slots),
         series,
@@ -378,12 +387,14 @@ def braking_points(
     lookback: int = 30,
     threshold: float = 8,
     slots: Sequence[float] = TIME_SLOTS,
-    series: Series = VEHICLE_TRACK,
+    series: Series | None = None,
 ) -> DataFrame:
-    """Points where the speed fell by more than ``threshold`` over the last ``lookback`` points.
+    """Points where the speed fell by more than ``threshold`` over the last ``lookback`` points of a drive.
 
-    A point without a speed on either side shows no drop.
+    A drive is a lap of a vehicle in a race, if no series is given. A point without a speed on
+    either side shows no drop.
     """
+    series = series or _drive(points)
     rows = shift(split(points, series, slots), series, {"initial_speed": "speed"}, lookback)
     drop = F.col("initial_speed") - F.col("speed")
     return (
