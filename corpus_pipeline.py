@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trackline.llm import bagminhash, line_dedup, mixing, packing, quality_rules
 from trackline.llm.common import table
 from trackline.llm.queries import TOKENIZER
-from trackline.session import shared_dir
+from trackline.session import remove_at_end, shared_dir
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +55,24 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; every stage's rows are written to the shared folder and read again by the next."""
+def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
+    """All stages; every stage's rows are written to the shared folder and read again by the next.
+
+    ``work`` names a folder for the stages of one run over one set of tables. A stage that is
+    finished there is read instead of computed, so a run that was cut off goes on where it
+    stopped. Without it the stages go to a folder of their own that is removed when the driver ends.
+    """
+    base = work or remove_at_end(spark, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{base.rstrip('/')}/{number}-{name}"
+        if not finished(spark, path):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
