@@ -57,6 +57,38 @@ def test_stages(spark, stored):
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
 
 
+@needs_tables
+def test_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    """A run whose fourth stage fails does not compute the first three again."""
+    calls, stages = [], corpus_pipeline.STAGES
+
+    def counted(name, stage):
+        def run(spark, docs, sf_dir):
+            calls.append(name)
+            if name == "mixing" and calls.count(name) == 1:
+                raise RuntimeError("cut off")
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*s) for s in stages])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, SF_DIR, str(tmp_path))
+    assert corpus_pipeline.run(spark, SF_DIR, str(tmp_path)).count() > 500
+    assert calls == ["quality_rules", "line_dedup", "near_dedup", "mixing", "mixing", "packing"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_of_an_empty_table(spark, nothing, tmp_path, name, stage):
+    nothing.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    assert stage(spark, docs, "").count() == 0
+
+
 @needs_tables
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF_DIR).count() > 500
+    """Whole result: no sequence is longer than its limit."""
+    pieces = corpus_pipeline.run(spark, SF_DIR)
+    assert pieces.count() > 500
+    ends = pieces.groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).collect()
+    assert max(r["sum(length)"] for r in ends) <= 4096
