@@ -18,7 +18,7 @@ LEVELS = (2 * MINUTE, 30 * MINUTE)
 ON = ["circuit", "race"]
 
 
-def made(seed, n_points=400, n_spans=60):
+def made(seed, n_points=160, n_spans=25):
     rng = random.Random(seed)
 
     def moment(minutes):
@@ -83,7 +83,7 @@ def test_full_windows_are_cut(tables, spark):
     """Parts of points and groups of spans give the very doubles of whole windows."""
     p, s, want = tables
     whole = sorted(map(str, statistics(p, s).collect()))
-    assert sorted(map(str, statistics(p, s, max_rows=25).collect())) == whole
+    assert sorted(map(str, statistics(p, s, max_rows=15).collect())) == whole
 
 
 def test_no_row_per_span_and_point(spark):
