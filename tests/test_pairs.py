@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trackline.operators.pairs import self_full_join
+from trackline.operators.pairs import grouped_sides, pairs_of, self_full_join
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +62,20 @@ def test_a_full_key_is_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 600 * 300 and len(sizes) == 4
+
+
+@pytest.mark.parametrize("max_rows", [1000, 7, 1])
+def test_stored_sides_hold_every_part_once(spark, rows, tmp_path, max_rows):
+    """What is stored grows with the rows, not with the pairs, and gives the pairs of the join."""
+    df = spark.createDataFrame(rows, "circuit string, second int, a int, b int").repartition(3)
+    sides = [F.when(F.col(c).isNotNull(), F.struct(c)) for c in ("a", "b")]
+    grouped_sides(df, ["circuit", "second"], *sides, max_rows).write.parquet(str(tmp_path / "sides"))
+    stored = spark.read.parquet(str(tmp_path / "sides"))
+    parts = stored.agg(F.sum(F.size("_left")), F.sum(F.size("_right"))).first()
+    assert tuple(parts) == (sum(r[2] is not None for r in rows), sum(r[3] is not None for r in rows))
+    assert max_rows > 1 or stored.agg(F.max("_pieces")).first()[0] > 5
+    got, want = (
+        sorted(map(str, d.select("circuit", "second", "left.a", "right.b").collect()))
+        for d in (pairs_of(stored, ["circuit", "second"]), self_full_join(df, ["circuit", "second"], *sides))
+    )
+    assert got == want and len(got) > 300
