@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 from fractions import Fraction
 
@@ -128,3 +129,18 @@ def test_exact_sums(spark):
     odd = spark.createDataFrame([(None,), (float("inf"),), (1.0,)], "v double")
     assert odd.agg(exact_sum(F.col("v"))).first()[0] == math.inf
     assert odd.where("v is null").agg(exact_sum(F.col("v"))).first()[0] is None
+
+
+def test_ranks_hold_one_level_at_a_time():
+    """Besides the points, ranks of a window need memory for one bit of the wavelet matrix, not for all."""
+    values = np.random.default_rng(5).random(50_000)
+    window = ranges.SortedWindow(values)
+    first, stop = np.array([0, 10]), np.array([50_000, 20_000])
+    tracemalloc.start()
+    try:
+        got = window.ranked(first, stop, (stop - first) // 2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.tolist() == [np.sort(values[a:b])[(b - a) // 2] for a, b in zip(first, stop)]
+    assert "zeros" not in vars(window) and peak < 5 * values.nbytes
