@@ -413,3 +413,15 @@ def test_lexicon_has_all_terms(spark):
     rows = [(" ".join(rng.permutation(terms)), 1) for _ in range(6)] + [(f"plain{i % 7}", 0) for i in range(100)]
     words, _, weights = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
     assert words == sorted(terms) and weights.keys() >= set(terms)
+
+
+def test_suffixes_shorter_than_a_key_are_ordered():
+    """Eight bytes are read at once from every place, also where fewer are left of a string."""
+    pieces = [b"a", b"ab\x00", b"aaaaaaa", b"aaaaaaaa", b"", b"ab", b"\xff" * 9, b"ab\x00"]
+    sizes = np.array([len(p) for p in pieces])
+    stops = np.cumsum(sizes)
+    ends, piece = np.repeat(stops, sizes), np.repeat(np.arange(len(pieces)), sizes)
+    data = b"".join(pieces)
+    order = suffix_dedup.suffix_order(np.frombuffer(data, np.uint8), ends, piece)
+    want = sorted(range(len(data)), key=lambda i: ([b + 1 for b in data[i : ends[i]]], piece[i]))
+    assert order.tolist() == want
