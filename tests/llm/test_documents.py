@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -425,3 +426,33 @@ def test_suffixes_shorter_than_a_key_are_ordered():
     order = suffix_dedup.suffix_order(np.frombuffer(data, np.uint8), ends, piece)
     want = sorted(range(len(data)), key=lambda i: ([b + 1 for b in data[i : ends[i]]], piece[i]))
     assert order.tolist() == want
+
+
+def test_equal_surroundings_stand_in_the_array_once(monkeypatch):
+    """A kind that occurs often is repeated as a whole; the array needs it once, for other kinds."""
+    rng = np.random.default_rng(8)
+    often, alone = (bytes(rng.integers(0, 256, 450).astype("u1")) for _ in range(2))
+    pieces = [often, b"x" * 7 + often[:420] + b"y" * 3, alone, alone[:399] + b"z"]
+    kinds = {"anchor": [1, 1, 2, 2], "around": [1, 2, 3, 4], "count": [51, 31, 51, 1], "copies": [3, 1, 1, 1]}
+    table = pa.table({**kinds, "parts": [1] * 4, "bytes": pieces})
+    sorted_bytes = []
+    order = suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda data, *a: sorted_bytes.append(len(data)) or order(data, *a))
+    found = suffix_dedup.shard_repeats(table).to_pylist()
+    assert sorted((r["around"], r["low"], r["high"]) for r in found) == [(1, 0, 51), (2, 7, 28)]
+    assert sorted_bytes == [sum(map(len, pieces))]
+
+
+def test_suffix_order_of_a_large_shard():
+    """Keys of over 2 MiB do not fit one number with their places."""
+    rng = np.random.default_rng(9)
+    part = rng.integers(97, 100, 400_000).astype("u1")
+    data = np.concatenate([part, rng.integers(97, 100, 1_400_000).astype("u1"), part, part[:300_000]])
+    sizes = np.array([1_000_000, 800_000, 700_000])
+    ends, piece = np.repeat(np.cumsum(sizes), sizes), np.repeat(np.arange(3), sizes)
+    order = suffix_dedup.suffix_order(data, ends, piece)
+    assert np.array_equal(np.sort(order), np.arange(len(data)))
+    raw = data.tobytes()
+    for at in rng.integers(1, len(data), 2000):
+        p, q = order[at - 1], order[at]
+        assert (raw[p : ends[p]], piece[p]) < (raw[q : ends[q]], piece[q])
