@@ -1,10 +1,16 @@
 """HTML extraction and vector near duplicates."""
 
+import contextlib
+import os
+import threading
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
 
 from trackline.llm import html_text, vector_dedup
 from trackline.llm.common import components
+from trackline.session import shared_dir
 
 BODY = "<p>First   para of {0}, with <b>bold</b>&amp;more text.<br>And on.</p><p>Second para of {0}, which is a bit longer.</p>"
 TEXT = "First para of {0}, with bold&more text. And on.\n\nSecond para of {0}, which is a bit longer."
@@ -185,6 +191,81 @@ def test_links_across_cells_of_one_direction(spark, monkeypatch):
     assert sorted(str((r.vec_id, r.n_links, r.component_id)) for r in got) == sorted(map(str, brute(rows)))
 
 
+class Disk:
+    """The most bytes in Spark's local folders and in the shared one while a block runs, beyond those at its start."""
+
+    def __init__(self, spark):
+        local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        self.tops = [*(d.getAbsolutePath() for d in local), urlparse(shared_dir(spark)).path]
+        self.most, self.over = 0, threading.Event()
+
+    def used(self):
+        found = 0
+        for path in (f"{d}/{f}" for top in self.tops for d, _, names in os.walk(top) for f in names):
+            with contextlib.suppress(OSError):  # files go meanwhile
+                found += os.lstat(path).st_size
+        return found
+
+    def watch(self):
+        while not self.over.wait(0.02):
+            self.most = max(self.most, self.used() - self.start)
+
+    def __enter__(self):
+        self.start, self.thread = self.used(), threading.Thread(target=self.watch)
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_):
+        self.over.set()
+        self.thread.join()
+
+
+def test_vectors_without_clusters_are_not_copied(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(4000, 64)).astype(np.float32)
+    base[3000:3300] = base[:300] + rng.normal(size=(300, 64)).astype(np.float32) * 0.05
+    base[3300:3330] = base[0] + rng.normal(size=(30, 64)).astype(np.float32) * 0.02
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(vector_dedup, "CELL", 100)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    monkeypatch.setattr(vector_dedup, "SENT", 700 * 256, raising=False)  # six portions, and parts of cells
+    with Disk(spark) as disk:
+        got = vector_dedup.near_vectors(vectors).collect()
+    assert disk.most < 8 * base.nbytes, disk.most / base.nbytes
+    unit = base.astype(float) / np.linalg.norm(base.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    assert near.sum() > 5000 and {r.vec_id: r.n_links for r in got} == dict(enumerate((near.sum(axis=1) - 1).tolist()))
+    label = np.arange(len(base))
+    for _ in range(6):
+        label = np.array([label[row].min() for row in near])
+    assert {r.vec_id: r.component_id for r in got} == dict(enumerate(label.tolist()))
+
+
+@pytest.mark.parametrize("size", [3, 40])
+def test_sketches_never_fall_below_the_cosine(size):
+    rng = np.random.default_rng(5)
+    rows = vector_dedup.unit(rng.normal(size=(900, size)) * np.linspace(2, 0.1, size))
+    basis = vector_dedup.basis_of(rows, 0.95)
+    short = vector_dedup.sketch(rows, basis)
+    assert (short @ short.T >= rows @ rows.T - vector_dedup.ROUNDING).all()
+    assert basis.shape[1] <= size and (size == 3 or basis.shape[1] < size)
+
+
+def test_links_of_blocks_are_all_found(monkeypatch):
+    rng = np.random.default_rng(8)
+    raw = rng.normal(size=(900, 8))
+    raw[400:] = raw[:500] + rng.normal(size=(500, 8)) * rng.choice([0.05, 0.2, 0.4], (500, 1))
+    rows = vector_dedup.unit(raw)
+    centres, basis = vector_dedup.centres_of(rows, 60), vector_dedup.basis_of(rows, 0.9)
+    cell, own = vector_dedup.nearest(rows, centres)
+    for block in (7, 1024):
+        monkeypatch.setattr(vector_dedup, "BLOCK", block)
+        side = vector_dedup.Side(cell, np.arange(900), np.ones(900, dtype=int), own, raw, basis, np.arccos(0.9))
+        pairs = {(side.node[a], side.node[b]) for x, y in vector_dedup.linked(side, side, centres, 0.9) for a, b in zip(x, y, strict=True)}
+        want = {(a, b) for a, b in np.argwhere(rows @ rows.T >= 0.9).tolist() if cell[b] <= cell[a]}
+        assert pairs == want and len({(cell[a], cell[b]) for a, b in want if cell[a] != cell[b]}) > 30
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))] + [(i, i + 1) for i in range(200, 260)] + [(5, 5)]
