@@ -33,7 +33,8 @@ PASSED, DENSE = 3e-5, 1 / 64
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length 1 in double precision."""
     rows = rows / np.abs(rows).max(axis=1, keepdims=True).astype(np.float64)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows
 
 
 def rows_of(column: pa.Array, size: int) -> np.ndarray:
@@ -323,7 +324,9 @@ def near_vectors(
     found = shared_path(spark, "vector-links")
     schema = T.StructType([T.StructField(name, T.LongType()) for name in ("node", "root", "links")])
     spark.createDataFrame([], schema).write.parquet(found)
-    for cells, part, parts in portions(homes, max(1, SENT // (size * np.dtype(kind).itemsize))):
+
+    def send(cells: np.ndarray, part: int, parts: int) -> None:
+        """Have a portion met by the vectors of its cells and of later ones."""
         first, last = int(cells[0]), int(cells[-1])
         portion = stored.where(F.col("cell").between(first, last))
         if parts > 1:
@@ -338,7 +341,7 @@ def near_vectors(
         if close.sum() < np.count_nonzero(homes[first:]):
             read = read.where(F.col("cell").isin((first + np.flatnonzero(close)).tolist()))
 
-        def meet(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (centres, basis), right = shared.value, None
             for batch in batches:
                 if not batch.num_rows:
@@ -370,6 +373,9 @@ def near_vectors(
 
         read.mapInArrow(meet, schema).write.mode("append").parquet(found)
         sent.destroy()
+
+    for cells, part, parts in portions(homes, max(1, SENT // (size * np.dtype(kind).itemsize))):
+        send(cells, part, parts)
     links = spark.read.schema(schema).parquet(found)
     totals = links.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(links.select("node", "root"), "node", "root").withColumnRenamed("root", "class")
